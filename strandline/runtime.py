@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,11 +52,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Computes df once, writes it to the shared folder and reads it back, so its lineage ends there.
+
+    A written table and not Dataset.checkpoint(): that one carries the plan's constraints along, and they
+    grow with every turn of an iteration. The files go when the driver's JVM ends, or with release().
+    """
+    spark = df.sparkSession
+    place = f"{shared_dir(spark).rstrip('/')}/strandline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes every table cut() has written in this application; results that still read them become unusable."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/strandline-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
