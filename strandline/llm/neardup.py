@@ -108,12 +108,13 @@ def near_duplicate_groups(records: DataFrame, key: str = "unit_id", tokens: str
     `order`. Records with fewer than two tokens (or null ones) have no pairs and so no likeness to anything.
     Rows with a null key are left out; other columns are ignored; an empty input gives an empty result.
     """
-    hashes = pair_hashes(F.col(tokens))
-    base = cut(
-        records.where(F.col(key).isNotNull())
-        .select(F.col(key).cast("long").alias("id"), F.col(order).alias("seen"), hashes.alias("hashes"))
-        .withColumns({"row": F.monotonically_increasing_id(), "k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(17), F.col("hashes"))})
-    )
+    rows = records.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(order).alias("seen"), pair_hashes(F.col(tokens)).alias("hashes"))
+    return set_groups(rows, threshold, recall, depth).select(F.col("id").alias(key), "group_id")
+
+
+def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTH) -> DataFrame:
+    """(id, group_id) of rows(id, seen, hashes), hashes being sorted and different: the forest over any sets of hashes."""
+    base = cut(rows.withColumns({"row": F.monotonically_increasing_id(), "k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(17), F.col("hashes"))}))
     live = base.groupBy("id").agg(F.max_by(F.struct("row", "k1", "k2", (F.size("hashes") > 0).alias("full")), F.struct("seen", "row")).alias("last")).select("id", "last.*").where("full")
     classes = live.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.min_by("row", "id").alias("row"))
     members = cut(live.select("id", "k1", "k2").join(classes, ["k1", "k2"]).select("id", "class_id", "members", F.when(F.col("id") == F.col("class_id"), F.col("row")).alias("row")))
@@ -146,4 +147,4 @@ def near_duplicate_groups(records: DataFrame, key: str = "unit_id", tokens: str
 
     found = members.select("id", "class_id", "members").join(label.withColumnRenamed("vertex", "class_id"), "class_id", "left").withColumn("part", F.coalesce("group_id", "class_id"))
     found = found.join(joined, "part", "left")
-    return found.where("members > 1 or group_id is not null or whole is not null").select(F.col("id").alias(key), F.coalesce("whole", "part").alias("group_id"))
+    return found.where("members > 1 or group_id is not null or whole is not null").select("id", F.coalesce("whole", "part").alias("group_id"))

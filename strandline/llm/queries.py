@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
 from strandline.llm.cooccurrence import item_pairs
+from strandline.llm.docpairs import documented_functions
+from strandline.llm.encoding import encode_texts
+from strandline.llm.handwritten import file_origins
+from strandline.llm.mixture import mix_sources
 from strandline.llm.neardup import near_duplicate_groups
+from strandline.llm.parsecheck import parse_rates, parse_verdicts
 from strandline.llm.setjoin import similar_set_pairs
 from strandline.runtime import table
 
@@ -19,6 +24,18 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(units, "unit_id", "tokens", "scanned_at", threshold=0.7)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_verdicts(table(spark, sf_dir, "source_files")).where("not valid").select("file_id")
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parse_rates(parse_verdicts(table(spark, sf_dir, "source_files")))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return file_origins(table(spark, sf_dir, "source_files")).where("not handwritten").select("file_id")
+
+
 def _field_names(fields):
     return F.array_distinct(F.transform(F.map_keys(fields), lambda k: F.replace(F.lower(k), F.lit("_"), F.lit(""))))
 
@@ -36,17 +53,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return item_pairs(units, "unit_id", "items", "scanned_at", least=6, lift=3.0).select("item_a", "item_b")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(table(spark, sf_dir, "units")).select("unit_id")
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented_functions(table(spark, sf_dir, "units"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "scored_pairs").where("score between 0.7 and 1.0 and not isnan(score)")
     groups = connected_components(pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")))
     return groups.select(F.col("vertex").alias("unit_id"), "group_id")
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents"), vocabulary="byte_bpe_50k", keep=("doc_id",))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_rates": p2_rates,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
     "p7_found": p7_found,
+    "p8_ids": p8_ids,
+    "p9_mix": p9_mix,
+    "p9_shares": p9_shares,
 }
 
 ORACLE: dict[str, str] = {}
