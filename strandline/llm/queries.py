@@ -16,6 +16,7 @@ from strandline.llm.mixture import mix_sources
 from strandline.llm.neardup import near_duplicate_groups
 from strandline.llm.parsecheck import parse_rates, parse_verdicts
 from strandline.llm.setjoin import similar_set_pairs
+from strandline.llm.subjects import subject_scores
 from strandline.runtime import table
 
 
@@ -79,6 +80,11 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return subject_scores(documents, table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subjects")).select("doc_id", "subject")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
 }
 
 ORACLE: dict[str, str] = {}
