@@ -1,7 +1,7 @@
 """Generated, minified or vendored source files: clusters of identifier-masked token shingles.
 
 Each file becomes the set of its masked five-token shingles. MinHash prefixes (neardup's forest) propose
-pairs, exact likeness of 0.8 or more verifies them, and the links form clusters. A cluster within one
+pairs, exact likeness of 0.9 or more verifies them, and the links form clusters. A cluster within one
 repository is a family, as generators make; one across repositories is what copying makes; one of nothing
 but literals is a set of blobs. The signs a file bears (its path, its banner, the shape of its tokens) say
 which clusters those are: template-like code written by hand forms clusters too. A file comes out by its
@@ -22,7 +22,8 @@ from strandline.llm.neardup import set_groups
 from strandline.runtime import cut
 
 SHINGLE = 5
-LIKENESS = 0.8
+LIKENESS = 0.9
+DEPTH = 16
 #: Fewer different shingles than this say nothing about where a file comes from.
 LEAST_SHINGLES = 12
 #: Signs that lie in the content, and those that lie in where a file stands or whence it came.
@@ -69,7 +70,7 @@ def file_origins(files: DataFrame, key: str = "file_id", order: str = "ingested_
     rows = files.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "repo", F.col(order).cast("timestamp").alias("seen"), "path", "text")
     read = cut(rows.mapInArrow(_read, "id long, repo string, seen timestamp, signs array<string>, literal boolean, hashes array<bigint>"))
     facts = read.groupBy("id").agg(F.max_by(F.struct("repo", "signs", "literal"), F.struct(F.col("seen").isNotNull().alias("known"), "seen")).alias("f")).select("id", "f.*")
-    groups = set_groups(read.select("id", "seen", "hashes"), LIKENESS, depth=8)
+    groups = set_groups(read.select("id", "seen", "hashes"), LIKENESS, depth=DEPTH)
     placed = facts.join(groups, "id", "left").withColumn("cluster_id", F.coalesce("group_id", "id"))
     content = F.exists("signs", lambda s: s.isin(*CONTENT_SIGNS))
     origin = F.exists("signs", lambda s: s.isin(*ORIGIN_SIGNS))
