@@ -8,4 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "exact_duplicate_clusters"
+FLAGSHIP = "near_duplicate_pairs"
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with the SQL that states the same result."""
+
+    def add(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE[function.__name__] = sql
+        return function
+
+    return add
+
+
+from strandline.plans import code_queries, record_queries, text_queries  # noqa: E402
+
+assert code_queries and record_queries and text_queries
