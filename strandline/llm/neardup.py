@@ -124,7 +124,8 @@ def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL,
 
     trees = trees_needed(threshold, depth, recall)
     keys = sets.mapInArrow(_forest_keys(trees, depth), "id long, short long, long long").repartition("short")
-    shared = keys.groupBy("short").agg(F.count("*").alias("n")).where("n > 1")
+    # all columns are asked for, so that both uses of the keys read one exchange and signatures are made once
+    shared = keys.groupBy("short").agg(F.count("*").alias("n"), F.max("id").alias("_id"), F.max("long").alias("_long")).where("n > 1 and _id is not null and _long is not null").select("short", "n")
     buckets = cut(keys.join(shared, "short"))
 
     chain = Window.partitionBy("short", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHAIN))).orderBy("long", "id")
