@@ -285,3 +285,58 @@ def directory_profile(spark, sf_dir):
 @query(f"select file_id, path, repo from {FILES_SQL} where regexp_matches(path, '\\.(ts|mts|tsx)$') and not regexp_matches(path, '\\.d\\.ts$')")
 def supported_files(spark, sf_dir):
     return _files(spark, sf_dir, "path", "repo").where(F.col("path").rlike(r"\.(ts|mts|tsx)$") & ~F.col("path").rlike(r"\.d\.ts$")).select("file_id", "path", "repo")
+
+
+@query("select distinct repo, file_path as path, kind, end_pos from units")
+def declaration_spans(spark, sf_dir):
+    from strandline.sources.declarations import declaration_scan
+
+    found, _ = declaration_scan(_files(spark, sf_dir, "repo", "path", "text"), "file_id", "repo", "path", "text")
+    scanned = table(spark, sf_dir, "units").select("repo", F.col("file_path").alias("path"), "kind", "end_pos").distinct()
+    return found.select("repo", "path", "kind", F.col("end").alias("end_pos")).distinct().join(scanned, ["repo", "path", "kind", "end_pos"], "left_semi")
+
+
+@query(None)
+def parse_failures(spark, sf_dir):
+    from strandline.sources.declarations import declaration_scan
+
+    return declaration_scan(_files(spark, sf_dir, "repo", "path", "text"), "file_id", "repo", "path", "text")[1].select("id", "path", "reason")
+
+
+@query(rf"""with f as {FILES_SQL}, x as (select file_id, 'string' as fact, unnest(regexp_extract_all(text, '''((?:[^''\\\n]|\\.)*)''', 1)) as value from f union all select file_id, 'comparison', unnest(regexp_extract_all(text, 'return[ \t]+([\w$.]+[ \t]*(?:===|!==|<|>)[ \t]*[\w$.]+)', 1)) from f
+union all select file_id, 'guard', unnest(regexp_extract_all(text, 'if[ \t]*\(([^()\n]*(?:===|!==)[ \t]*null)\)', 1)) from f union all select file_id, 'call', unnest(regexp_extract_all(text, '([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\(', 1)) from f)
+select fact, value, count(*)::bigint as sites, count(distinct file_id)::bigint as files from x group by 1, 2""")
+def structural_facts(spark, sf_dir):
+    from strandline.sources.declarations import structural_facts as facts
+
+    found = facts(_files(spark, sf_dir, "text"), ["file_id"], "text")
+    return found.groupBy("fact", "value").agg(F.count("*").alias("sites"), F.count_distinct("file_id").alias("files"))
+
+
+@query(rf"""with f as {FILES_SQL}, c as (select file_id, regexp_matches(text, 'catch \(error\)') as guarded, len(regexp_extract_all(text, '\b(?:cache|store|queue|logger|clock)\.[a-z]+\(')) as io, len(regexp_extract_all(text, '<[A-Z][A-Za-z]*')) as elements from f)
+select file_id, guarded, io::int as io, elements::int as elements from c where (io >= 3 and elements >= 1) or (guarded and io >= 5)""")
+def page_pressure(spark, sf_dir):
+    files = _files(spark, sf_dir, "text")
+    counted = files.select("file_id", F.col("text").rlike(r"catch \(error\)").alias("guarded"), F.size(F.regexp_extract_all("text", F.lit(r"\b(?:cache|store|queue|logger|clock)\.[a-z]+\("), F.lit(0))).alias("io"), F.size(F.regexp_extract_all("text", F.lit("<[A-Z][A-Za-z]*"), F.lit(0))).alias("elements"))
+    return counted.where("(io >= 3 and elements >= 1) or (guarded and io >= 5)")
+
+
+@query(rf"""with c as (select unit_id, regexp_extract_all(text, '\b(?:cache|store|queue|logger|clock)\.[a-z]+(?:\()', 0) as calls from {UNITS_SQL} where kind = 'function') select unit_id, len(calls)::int as calls from c where list_contains(calls, 'store.get(') and not list_contains(calls, 'store.put(')""")
+def temporal_coupling(spark, sf_dir):
+    calls = _units(spark, sf_dir, "kind", "text").where("kind = 'function'").select("unit_id", F.regexp_extract_all("text", F.lit(r"\b(?:cache|store|queue|logger|clock)\.[a-z]+(?:\()"), F.lit(0)).alias("calls"))
+    return calls.where(F.array_contains("calls", "store.get(") & ~F.array_contains("calls", "store.put(")).select("unit_id", F.size("calls").alias("calls"))
+
+
+@query(rf"""with u as (select repo, regexp_extract(file_path, '^([^/]+)', 1) top, unit_id, is_test, list_distinct(regexp_extract_all(text, '''((?:[^''\\\n]|\\.)+)''', 1)) ls from {UNITS_SQL}), e as (select repo, top, unit_id, unnest(ls) l from u where not is_test)
+select l as literal, count(distinct repo || '/' || top)::bigint as places, min(unit_id) as first_unit from e group by 1 having count(distinct repo || '/' || top) >= 2""")
+def shared_literals(spark, sf_dir):
+    units = _units(spark, sf_dir, "repo", "is_test", F.regexp_extract("file_path", "^([^/]+)", 1).alias("top"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"'((?:[^'\\\n]|\\.)+)'"), F.lit(1))).alias("ls"))
+    each = units.where("not is_test").select("repo", "top", "unit_id", F.explode("ls").alias("literal"))
+    return each.groupBy("literal").agg(F.count_distinct(F.concat_ws("/", "repo", "top")).alias("places"), F.min("unit_id").alias("first_unit")).where("places >= 2")
+
+
+@query(rf"""with f as {FILES_SQL}, t as (select repo, bool_and(lang = 'typescript' or lang is null) as only_ts, count(*) n from f group by 1), m as (select repo, team from repositories)
+select t.repo, t.only_ts, t.n::bigint as files, coalesce(m.team, 'none') as team from t left join m on m.repo = t.repo""")
+def repository_profile(spark, sf_dir):
+    files = _files(spark, sf_dir, "repo", "lang").groupBy("repo").agg(F.bool_and((F.col("lang") == "typescript") | F.col("lang").isNull()).alias("only_ts"), F.count("*").alias("files"))
+    return files.join(table(spark, sf_dir, "repositories").select("repo", "team"), "repo", "left").select("repo", "only_ts", "files", F.coalesce("team", F.lit("none")).alias("team"))
