@@ -30,6 +30,10 @@ def _prefix(ranked: Column, threshold: float) -> Column:
     return F.slice(ranked, 1, n - F.ceil(n * F.lit(threshold) - 1e-9).cast("int") + 1)
 
 
+def _least_hash(items: str, seed: int) -> Column:
+    return F.array_min(F.transform(items, lambda w: F.xxhash64(w, F.lit(seed))))
+
+
 def _shared(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b))
 
@@ -75,7 +79,7 @@ def similar_set_pairs(records: DataFrame, key: str, part: str, members: str, ord
     sets = cut(ranked.select("part", "id", "class_id", F.size("by_df").alias("n"), F.col("by_df.w").alias("ranked")))
 
     reach = 1.0 - threshold
-    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[F.array_min(F.transform("ranked", lambda w, s=b * ROWS + r: F.xxhash64(w, F.lit(s)))) for r in range(ROWS)]).alias("key")) for b in range(BANDS)])
+    bands = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(*[_least_hash("ranked", b * ROWS + r) for r in range(ROWS)]).alias("key")) for b in range(BANDS)])
     banded = sets.select("part", "id", F.explode(bands).alias("band"))
     pivots = banded.groupBy("part", "band").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n > 1").select("id").distinct()
     pivots = cut(sets.join(pivots, "id", "left_semi"))
