@@ -43,7 +43,7 @@ def shared_runs(sequence: DataFrame, key: str, n: int = 4, most_per_gram: int |
     best = islands.groupBy("left_id", "right_id").agg(F.max(F.struct("run", (-F.col("left_at")).alias("l"), F.col("offset").alias("o"))).alias("m"))
     runs = best.select("left_id", "right_id", "m.run", (-F.col("m.l")).alias("left_at"), (-F.col("m.l") - F.col("m.o")).alias("right_at"))
     sizes = sequence.select(key, F.array_join("items", "|").alias("whole"))
-    return runs.join(sizes.select(F.col(key).alias("left_id"), F.col("whole").alias("wl")), "left_id").join(sizes.select(F.col(key).alias("right_id"), F.col("whole").alias("wr")), "right_id").where("wl <> wr").drop("wl", "wr")
+    return runs.join(sizes.select(F.col(key).alias("left_id"), F.col("whole").alias("wl")), "left_id").join(sizes.select(F.col(key).alias("right_id"), F.col("whole").alias("wr")), "right_id").where("wl <> wr").select("left_id", "right_id", "run", "left_at", "right_at")
 
 
 def suffix_is_whole(sequence: DataFrame, key: str, least: int = 3) -> DataFrame:

@@ -51,7 +51,7 @@ _memory = _Memory()
 
 
 class _Parser:
-    def __init__(self, kinds: str, typed: bool) -> None:
+    def __init__(self, kinds: str, typed: bool, jsx: bool = False) -> None:
         lines = kinds.split("\n")
         self.t = "".join(lines) + END
         n = len(self.t)
@@ -66,6 +66,7 @@ class _Parser:
         self.nl[n - 1] = 1
         self.i = 0
         self.typed = typed
+        self.assertions = typed and not jsx
         self.ctx = 0
         self.in_ok = True
         self.cond = 0
@@ -129,7 +130,7 @@ class _Parser:
             start = self.i
             line = self.line_at.get(start)
             if line is not None and line[-1] == ";":
-                key = (self.ctx, self.typed, line)
+                key = (self.ctx, self.typed, self.assertions, line)
                 after = start + len(line)
                 if key in known and t[after] not in _CONTINUES:
                     self.i = after
@@ -565,7 +566,7 @@ class _Parser:
         start = self.i
         line = self.line_at.get(start)
         if line is not None and line[-1] == ";":
-            key = ("member", self.typed, self.ctx & _AMBIENT, line)
+            key = ("member", self.typed, self.assertions, self.ctx & _AMBIENT, line)
             if key in _memory.known:
                 self.i += len(line)
                 return
@@ -831,6 +832,8 @@ class _Parser:
             first = t[at + 1]
             if first not in IDENT and first not in "){[El@":
                 return False
+        if t[at] == "<" and not self.assertions and t[at + 1] != CONST and t[at + 2] not in (",", EXTENDS):
+            return False  # with JSX, that would be an element
         context = (self.ctx, self.in_ok)
         try:
             self.i = at
@@ -928,7 +931,7 @@ class _Parser:
             self.i += 1
             self.unary()
             return VALUE
-        if k == "<" and self.typed:
+        if k == "<" and self.assertions:
             self.i += 1
             if not self.has(CONST):
                 self.type()
@@ -1456,9 +1459,9 @@ GRAMMARS = {"ts": (True, False), "mts": (True, False), "cts": (True, False), "ts
 _MAYBE_JSX = re.compile(r"</|/>")
 
 
-def _attempt(kinds: str, typed: bool) -> str | None:
+def _attempt(kinds: str, typed: bool, jsx: bool) -> str | None:
     try:
-        _Parser(kinds, typed).module()
+        _Parser(kinds, typed, jsx).module()
     except SyntaxFailure as error:
         return str(error)
     except RecursionError:
@@ -1475,12 +1478,12 @@ def syntax_error(text: str | None, grammar: str) -> str | None:
         text = text[1:]
     if not jsx or not _MAYBE_JSX.search(text):
         kinds = fast_kinds(text)
-        if kinds is not None and _attempt(kinds, typed) is None:
+        if kinds is not None and _attempt(kinds, typed, jsx) is None:
             return None
     error = None
     for plain_generic in (False, True) if typed and jsx else (False,):
         try:
-            error = _attempt(careful_kinds(text, jsx, typed, plain_generic), typed)
+            error = _attempt(careful_kinds(text, jsx, typed, plain_generic), typed, jsx)
         except LexError as bad:
             error = str(bad)
         if error is None:
