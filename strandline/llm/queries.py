@@ -101,4 +101,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
 }
 
-ORACLE: dict[str, str] = {}
+_UNITS = "(select * from units qualify row_number() over (partition by unit_id order by scanned_at desc) = 1)"
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""with recursive s as (select unit_id, list_distinct(list_transform(range(1, len(tokens)), lambda i: tokens[i] || chr(0) || tokens[i + 1])) g from {_UNITS}),
+e as (select unit_id, unnest(g) x, len(g) n from s), l as (select a.unit_id a, b.unit_id b from e a join e b on a.x = b.x and a.unit_id < b.unit_id and a.n >= 0.7 * b.n - 1e-9 and b.n >= 0.7 * a.n - 1e-9 group by 1, 2 having count(*) * 10 >= 7 * (any_value(a.n) + any_value(b.n) - count(*))),
+u as (select a x, b y from l union select b, a from l), r as (select x, x as y from u union select r.x, u.y from r join u on u.x = r.y)
+select x as unit_id, min(y) as group_id from r group by 1""",
+    "p3_found": f"""with s as (select unit_id, 'field_types' as f, list_distinct(list_transform(map_keys(field_types), lambda k: replace(lower(k), '_', ''))) m from {_UNITS} where field_types is not null union all
+select unit_id, 'type_refs', list_distinct(list_filter(type_refs, lambda t: t is not null and t <> '')) from {_UNITS} where type_refs is not null), e as (select f, unit_id, len(m) n, unnest(m) w from s where len(m) >= 4)
+select a.f as field_name, a.unit_id as left_id, b.unit_id as right_id from e a join e b on a.f = b.f and a.w = b.w and a.unit_id < b.unit_id group by 1, 2, 3 having count(*) * 10 >= 7 * (any_value(a.n) + any_value(b.n) - count(*))""",
+    "p5_found": f"""with i as (select distinct unit_id, replace(lower(k), '_', '') w from (select unit_id, unnest(map_keys(field_types)) k from {_UNITS})), n as (select w, count(*) k from i group by 1), t as (select count(distinct unit_id) c from i),
+p as (select a.w a, b.w b, count(*) k from i a join i b on a.unit_id = b.unit_id and a.w < b.w group by 1, 2)
+select p.a as item_a, p.b as item_b from p join n x on x.w = p.a join n y on y.w = p.b, t where p.k >= 6 and p.k * t.c >= 3 * x.k * y.k""",
+    "p7_found": """with recursive l as (select distinct left_id a, right_id b from scored_pairs where left_id is not null and right_id is not null and left_id <> right_id and score >= 0.7 and score <= 1),
+u as (select a x, b y from l union select b, a from l), r as (select x, x as y from u union select r.x, u.y from r join u on u.x = r.y)
+select x as unit_id, min(y) as group_id from r group by 1""",
+}
