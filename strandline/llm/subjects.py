@@ -1,8 +1,8 @@
 """Subject area of each document: averaged word and subword embeddings with independent logistic outputs.
 
 A document is the weighted mean of the embeddings of its words, word pairs and character n-grams, hashed
-into a fixed number of rows; a feature's weight falls with the share of all documents that have it, so
-what every document says weighs nothing. One logistic output for each subject makes several or none
+into a fixed number of rows; a feature weighs as much as the labelled documents that have it differ in
+their subjects from all labelled ones, so what documents of every subject say weighs nothing. One logistic output for each subject makes several or none
 possible. Training runs over partitions of the labelled documents: in every round each partition takes
 its mini-batch steps from the shared model and sends back the change it made, and the changes are
 averaged into the next model. Every document is then scored where it lies.
@@ -27,11 +27,11 @@ BUCKETS, DIM = 1 << 17, 16
 #: Labelled documents used at most: the bounded sample the classifier is fitted on.
 MOST_LABELLED = 200_000
 #: Partitions the labelled documents are spread over, and rounds of synchronisation.
-SHARDS, ROUNDS, STEPS = 4, 16, 3
-#: Features in more than this share of all documents weigh nothing.
-COMMON = 0.05
+SHARDS, ROUNDS, STEPS = 4, 10, 3
+#: Labelled documents that the prior stands for when a feature's subjects are counted, and the least divergence that weighs.
+PRIOR, LEAST_DIVERGENCE = 8.0, 0.08
 #: A text with less weight than this in all is drawn towards having no subject.
-LEAST_WEIGHT = 20.0
+LEAST_WEIGHT = 3.0
 RATE, BATCH, SEED = 0.5, 32, 5
 THRESHOLD = 0.25
 
@@ -75,27 +75,33 @@ def features(text: str | None) -> np.ndarray:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts have each feature, one row for each partition and feature."""
-    seen = np.zeros(BUCKETS, dtype=np.int64)
-    n = 0
+    """How often each feature stands with each subject, one row for each partition, feature and subject; row -1 counts the subjects alone."""
+    seen: dict[tuple[int, int], int] = {}
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen[np.unique(features(text))] += 1
-            n += 1
-    rows = np.flatnonzero(seen).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, -1).astype(np.int32)), pa.array(np.append(seen[rows], n))], names=["row", "n"])
-
-
-def feature_weights(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """The weight of each feature row, from its share of all documents; at most BUCKETS numbers reach the driver."""
-    counted = documents.select(text).mapInArrow(_counts, "row int, n long").groupBy("row").agg(F.sum("n").alias("n")).toPandas()
-    total = max(1, int(counted.loc[counted["row"] < 0, "n"].sum()))
-    share = np.zeros(BUCKETS)
-    counted = counted[counted["row"] >= 0]
-    share[counted["row"].to_numpy()] = counted["n"].to_numpy() / total
-    with np.errstate(divide="ignore"):
-        weight = np.log(COMMON / share)
-    return np.where(share > 0, np.clip(weight, 0, 4), 4).astype(np.float32)
+        for text, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = [-1, *np.unique(features(text)).tolist()]
+            for c in classes:
+                for r in rows:
+                    seen[r, c] = seen.get((r, c), 0) + 1
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["row", "class", "n"])
+
+
+def feature_weights(labelled: DataFrame) -> np.ndarray:
+    """The weight of each feature row of labelled(text, classes): the divergence of its subjects from all, smoothed by the prior; at most BUCKETS numbers reach the driver."""
+    counted = cut(labelled.select("text", "classes").mapInArrow(_counts, "row int, class int, n long").groupBy("row", "class").agg(F.sum("n").cast("double").alias("n")))
+    alone = counted.where("row < 0").select("class", F.col("n").alias("of_class"))
+    whole = alone.agg(F.sum("of_class").alias("whole"))
+    prior = alone.crossJoin(F.broadcast(whole)).select("class", (F.col("of_class") / F.col("whole")).alias("prior"))
+    total = counted.where("row >= 0").groupBy("row").agg(F.sum("n").alias("of_row"))
+    share = (F.col("n") + PRIOR * F.col("prior")) / (F.col("of_row") + PRIOR)
+    seen = counted.where("row >= 0").join(prior, "class").join(total, "row").groupBy("row", "of_row").agg(F.sum(share * F.log(share / F.col("prior"))).alias("seen"), F.sum("prior").alias("covered"))
+    # subjects that a feature never stands with all fall by the same factor
+    rest = PRIOR / (F.col("of_row") + PRIOR)
+    divergence = F.col("seen") + F.greatest(1 - F.col("covered"), F.lit(0.0)) * rest * F.log(rest)
+    got = seen.select("row", divergence.alias("w")).where(F.col("w") >= LEAST_DIVERGENCE).toPandas()
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    weights[got["row"].to_numpy()] = got["w"].to_numpy()
+    return weights
 
 
 def _sparse(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +118,8 @@ class Model:
 
     def __init__(self, classes: int, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
-        self.embed = rng.normal(0, 0.3 / np.sqrt(DIM), (BUCKETS, DIM)).astype(np.float32)
-        self.out = np.zeros((DIM, classes), dtype=np.float32)
+        self.embed = np.zeros((BUCKETS, DIM), dtype=np.float32)
+        self.out = rng.normal(0, 1 / np.sqrt(DIM), (DIM, classes)).astype(np.float32)
         self.bias = np.full(classes, -2.0, dtype=np.float32)
 
     def logits(self, rows: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -187,9 +193,9 @@ def subject_scores(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     """(key, subject, score) of each document and subject whose score reaches the threshold.
 
     The classifier is fitted on the labelled documents, at most `most_labelled` of them (those with the least
-    hash of their key); weights and scores cover all documents. Labels are compared without letter case and
+    hash of their key); scores cover all documents. Labels are compared without letter case and
     outer blanks; those of unknown subjects or documents don't count, repeats count once. A document with a
-    null, empty or common text has no subject; so have all where there are no labels. Ties don't arise: each
+    null, empty or neutral text has no subject; so have all where there are no labels. Ties don't arise: each
     subject is judged by itself.
     """
     spark = documents.sparkSession
@@ -209,7 +215,7 @@ def subject_scores(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     sample = cut(sample.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SHARDS)).cast("int")).drop("h"))
     if sample.isEmpty():
         return empty
-    weights = feature_weights(rows)
+    weights = feature_weights(sample)
     model = train(sample, len(names), weights)
     shared = spark.sparkContext.broadcast((model.embed, model.out, model.bias, weights))
 
