@@ -330,7 +330,7 @@ def temporal_coupling(spark, sf_dir):
 @query(rf"""with u as (select repo, regexp_extract(file_path, '^([^/]+)', 1) top, unit_id, is_test, list_distinct(regexp_extract_all(text, '''((?:[^''\\\n]|\\.)+)''', 1)) ls from {UNITS_SQL}), e as (select repo, top, unit_id, unnest(ls) l from u where not is_test)
 select l as literal, count(distinct repo || '/' || top)::bigint as places, min(unit_id) as first_unit from e group by 1 having count(distinct repo || '/' || top) >= 2""")
 def shared_literals(spark, sf_dir):
-    units = _units(spark, sf_dir, "repo", "is_test", F.regexp_extract("file_path", "^([^/]+)", 1).alias("top"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"'((?:[^'\\\n]|\\.)+)'"), F.lit(1))).alias("ls"))
+    units = _units(spark, sf_dir, "repo", "is_test", F.regexp_extract("file_path", "^([^/]+)", 1).alias("top"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"'((?=[^'])[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'"), F.lit(1))).alias("ls"))
     each = units.where("not is_test").select("repo", "top", "unit_id", F.explode("ls").alias("literal"))
     return each.groupBy("literal").agg(F.count_distinct(F.concat_ws("/", "repo", "top")).alias("places"), F.min("unit_id").alias("first_unit")).where("places >= 2")
 

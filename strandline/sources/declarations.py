@@ -178,7 +178,7 @@ def declaration_scan(files: DataFrame, key: str, repo: str, path: str, text: str
 
 def structural_facts(files: DataFrame, keep: list[str], text: str) -> DataFrame:
     """(keep..., fact, value) by expressions only: calls, string literals, returned comparisons and guards of each text."""
-    patterns = {"call": (r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\(", 1), "string": (r"'((?:[^'\\\n]|\\.)*)'", 1), "comparison": (r"return[ \t]+([\w$.]+[ \t]*(?:===|!==|<|>)[ \t]*[\w$.]+)", 1), "guard": (r"if[ \t]*\(([^()\n]*(?:===|!==)[ \t]*null)\)", 1)}
+    patterns = {"call": (r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\(", 1), "string": (r"'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'", 1), "comparison": (r"return[ \t]+([\w$.]+[ \t]*(?:===|!==|<|>)[ \t]*[\w$.]+)", 1), "guard": (r"if[ \t]*\(([^()\n]*(?:===|!==)[ \t]*null)\)", 1)}
     def found(name: str, pattern: str, group: int):
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.struct(F.lit(name).alias("fact"), v.alias("value")))
 
