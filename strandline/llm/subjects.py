@@ -33,7 +33,7 @@ PRIOR, LEAST_DIVERGENCE = 8.0, 0.08
 #: A text with less weight than this in all is drawn towards having no subject.
 LEAST_WEIGHT = 3.0
 RATE, BATCH, SEED = 0.5, 32, 5
-THRESHOLD = 0.25
+THRESHOLD = 0.33
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ])(?=[A-Z])")
