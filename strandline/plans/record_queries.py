@@ -29,8 +29,7 @@ n as (select left_id, right_id, offs, min(la) left_at, count(*) + 6 as run from
 b as (select *, row_number() over (partition by left_id, right_id order by run desc, left_at, offs desc) k from n)
 select b.left_id, b.right_id, b.run::bigint as run, b.left_at::bigint as left_at, (b.left_at - b.offs)::bigint as right_at from b join q x on x.user_id = left_id join q y on y.user_id = right_id where k = 1 and x.s <> y.s""")
 def shared_event_runs(spark, sf_dir):
-    short = _event_sequences(spark, sf_dir).select("user_id", F.slice("items", 1, 40).alias("items"))
-    runs = sequences.shared_runs(short, "user_id", 7, 50)
+    runs = sequences.shared_runs(_event_sequences(spark, sf_dir), "user_id", 7, None)
     return runs.select("left_id", "right_id", F.col("run").cast("long").alias("run"), F.col("left_at").cast("long").alias("left_at"), F.col("right_at").cast("long").alias("right_at"))
 
 
