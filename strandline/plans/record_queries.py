@@ -17,8 +17,7 @@ def _event_sequences(spark, sf_dir):
 
 @query(f"select array_to_string(s, '|') as signature, count(*)::bigint as members, min(user_id) as first from (select user_id, s[1:4] as s from {CALLS_SQL}) where len(s) >= 4 group by 1 having count(*) > 1")
 def equal_event_sequences(spark, sf_dir):
-    opening = _event_sequences(spark, sf_dir).select("user_id", F.slice("items", 1, 4).alias("items"))
-    return sequences.equal_sequences(opening, "user_id", 4)
+    return sequences.equal_sequences(_event_sequences(spark, sf_dir), "user_id", 4)
 
 
 @query(f"""with q as (select user_id, s[1:40] as s from {CALLS_SQL}), g as (select user_id, unnest(range(0, len(s) - 6)) pos, s from q where len(s) >= 7),

@@ -39,3 +39,9 @@ def test_runs_are_shared_over_whole_histories(spark, tmp_path):
     wanted = [(a, b, *found) for a in histories for b in histories if a < b and (found := longest_shared(histories[a], histories[b], 7))]
     assert ids(registry.QUERIES["shared_event_runs"](spark, events(spark, tmp_path, histories))) == sorted(wanted)
     assert len(wanted) == 3 + 60 * 59 // 2
+
+
+def test_equal_sequences_are_equal_to_the_last_event(spark, tmp_path):
+    same, opening = ["a", "b", "c", "d", "e", "f"], ["a", "b", "c", "d"]
+    histories = {1: same, 2: opening + ["x"], 3: same, 4: opening + ["y"], 5: opening, 6: ["a", "b", "c"], 7: ["a", "b", "c"]}
+    assert ids(registry.QUERIES["equal_event_sequences"](spark, events(spark, tmp_path, histories))) == [("a|b|c|d|e|f", 2, 1)]
