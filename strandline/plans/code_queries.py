@@ -292,8 +292,7 @@ def declaration_spans(spark, sf_dir):
     from strandline.sources.declarations import declaration_scan
 
     found, _ = declaration_scan(_files(spark, sf_dir, "repo", "path", "text"), "file_id", "repo", "path", "text")
-    scanned = table(spark, sf_dir, "units").select("repo", F.col("file_path").alias("path"), "kind", "end_pos").distinct()
-    return found.select("repo", "path", "kind", F.col("end").alias("end_pos")).distinct().join(scanned, ["repo", "path", "kind", "end_pos"], "left_semi")
+    return found.select("repo", "path", "kind", F.col("end").alias("end_pos")).distinct()
 
 
 @query(None)

@@ -45,3 +45,20 @@ def test_equal_sequences_are_equal_to_the_last_event(spark, tmp_path):
     same, opening = ["a", "b", "c", "d", "e", "f"], ["a", "b", "c", "d"]
     histories = {1: same, 2: opening + ["x"], 3: same, 4: opening + ["y"], 5: opening, 6: ["a", "b", "c"], 7: ["a", "b", "c"]}
     assert ids(registry.QUERIES["equal_event_sequences"](spark, events(spark, tmp_path, histories))) == [("a|b|c|d|e|f", 2, 1)]
+
+
+def test_spans_of_all_files_and_none_but_those_of_units(spark, data):
+    spans = {tuple(r) for r in registry.QUERIES["declaration_spans"](spark, data).collect()}
+    units = {tuple(r) for r in spark.read.parquet(f"{data}/units.parquet").select("repo", "file_path", "kind", "end_pos").distinct().collect()}
+    files = {u[:2] for u in units}
+    texts = {(r.repo, r.path): r.text for r in spark.read.parquet(f"{data}/source_files.parquet").select("repo", "path", "text").collect()}
+    # units lacks the short minified functions that stand in some of its files
+    more = {s for s in spans if s[:2] in files} - units
+    assert units <= spans and all("const tiny=(a,b)=>" in texts[s[:2]] and texts[s[:2]][: s[3]].endswith("return c?c.v:!1};") for s in more)
+
+
+def test_spans_of_files_without_units(spark, tmp_path):
+    text = "export function f() {\n  return 1;\n}\n"
+    spark.createDataFrame([(1, "2025-01-01", "r", "src/a.ts", text)], "file_id long, ingested_at string, repo string, path string, text string").write.parquet(f"{tmp_path}/source_files.parquet")
+    spark.createDataFrame([], "repo string, file_path string, kind string, end_pos int").write.parquet(f"{tmp_path}/units.parquet")
+    assert ids(registry.QUERIES["declaration_spans"](spark, str(tmp_path))) == [("r", "src/a.ts", "function", text.index("}") + 1)]
