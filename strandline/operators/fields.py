@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.graph import reachable
 from strandline.runtime import cut
 
 
@@ -81,17 +82,11 @@ def nullability_drift(columns: DataFrame, mapped: DataFrame, by: list[str]) -> D
     return columns.withColumnRenamed("nullable", "column_nullable").join(mapped.withColumnRenamed("nullable", "field_nullable"), by).where("column_nullable <> field_nullable")
 
 
-def inherited_fields(types: DataFrame, name: str, own: str, parents: str, most_steps: int = 30) -> DataFrame:
+def inherited_fields(types: DataFrame, name: str, own: str, parents: str) -> DataFrame:
     """(name, fields) with the fields of all ancestors; cycles end by themselves."""
     up = types.select(F.col(name).alias("n"), F.explode(parents).alias("parent"))
-    pairs = cut(types.select(F.col(name).alias("n"), F.col(name).alias("a")))
-    fresh = pairs
-    for _ in range(most_steps):
-        further = fresh.join(up.select(F.col("n").alias("a"), F.col("parent").alias("b")), "a").select("n", F.col("b").alias("a")).distinct()
-        fresh = cut(further.join(pairs, ["n", "a"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        pairs = cut(pairs.unionByName(fresh))
+    above = reachable(up, "n", "parent").select(F.col("from").alias("n"), F.col("to").alias("a"))
+    pairs = types.select(F.col(name).alias("n"), F.col(name).alias("a")).unionByName(above).distinct()
     held = pairs.join(types.select(F.col(name).alias("a"), F.explode(own).alias("field")), "a")
     return held.groupBy(F.col("n").alias(name)).agg(F.array_sort(F.collect_set("field")).alias("fields"))
 

@@ -58,14 +58,15 @@ def greedy_cliques(pairs: DataFrame, largest: int = 1000) -> DataFrame:
     return searched.unionByName(rest)
 
 
-def reachable(edges: DataFrame, source: str, target: str, most_steps: int = 50) -> DataFrame:
-    """(from, to) of all nodes joined by a path of one step or more, cycles included."""
-    step = edges.where(f"`{source}` is not null and `{target}` is not null").select(F.col(source).alias("from"), F.col(target).alias("to")).distinct()
-    known = fresh = cut(step)
-    for _ in range(most_steps):
-        if fresh.isEmpty():
-            break
-        further = fresh.join(step.select(F.col("from").alias("to"), F.col("to").alias("next")), "to").select("from", F.col("next").alias("to")).distinct()
+def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(from, to) of all nodes joined by a path of one step or more, cycles included.
+
+    Every round doubles the length of the paths known, so rounds grow with the logarithm of the longest shortest path.
+    """
+    known = fresh = cut(edges.where(f"`{source}` is not null and `{target}` is not null").select(F.col(source).alias("from"), F.col(target).alias("to")).distinct())
+    while not fresh.isEmpty():
+        # a shortest path of up to twice the length begins with one of those found last
+        further = fresh.join(known.select(F.col("from").alias("to"), F.col("to").alias("next")), "to").select("from", F.col("next").alias("to")).distinct()
         fresh = cut(further.join(known, ["from", "to"], "left_anti"))
         known = cut(known.unionByName(fresh))
     return known

@@ -4,6 +4,7 @@ import datetime
 
 import pytest
 
+from strandline.operators import fields, graph
 from strandline.plans import registry
 
 
@@ -62,3 +63,16 @@ def test_spans_of_files_without_units(spark, tmp_path):
     spark.createDataFrame([(1, "2025-01-01", "r", "src/a.ts", text)], "file_id long, ingested_at string, repo string, path string, text string").write.parquet(f"{tmp_path}/source_files.parquet")
     spark.createDataFrame([], "repo string, file_path string, kind string, end_pos int").write.parquet(f"{tmp_path}/units.parquet")
     assert ids(registry.QUERIES["declaration_spans"](spark, str(tmp_path))) == [("r", "src/a.ts", "function", text.index("}") + 1)]
+
+
+def test_long_chains_and_rings(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "s long, t long")
+    assert ids(graph.reachable(chain, "s", "t")) == [(i, j) for i in range(71) for j in range(i + 1, 71)]
+    rings = [(i, (i + 1) % 60, False) for i in range(60)] + [(1000 + i, 1000 + (i + 1) % 120, True) for i in range(120)]
+    assert ids(graph.cycle_kinds(spark.createDataFrame(rings, "s long, t long, w boolean"), "s", "t", "w")) == [(0, 60, "runtime"), (1000, 120, "type only")]
+
+
+def test_fields_of_remote_ancestors(spark):
+    types = spark.createDataFrame([(f"t{i:02}", [f"f{i:02}"], [f"t{i + 1:02}"]) for i in range(45)] + [("x", ["fx"], ["y"]), ("y", ["fy"], ["x"])], "name string, f array<string>, p array<string>")
+    wanted = [(f"t{i:02}", [f"f{j:02}" for j in range(i, 45)]) for i in range(45)] + [("x", ["fx", "fy"]), ("y", ["fx", "fy"])]
+    assert ids(fields.inherited_fields(types, "name", "f", "p")) == wanted
