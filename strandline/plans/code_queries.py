@@ -171,8 +171,8 @@ c as (select r.s as node, min(r.t) as cycle from r join r x on x.s = r.t and x.t
 w as (select c.cycle, bool_and(m.weak) aw from m join c on c.node = m.s join c d on d.node = m.t and d.cycle = c.cycle group by 1)
 select c.cycle, count(*)::bigint as nodes, case when count(k.node) > 0 then 'runtime' when any_value(aw) then 'type only' else 'mixed' end as kind from c left join k on k.node = c.node join w on w.cycle = c.cycle group by 1""")
 def link_cycles(spark, sf_dir):
-    pairs = table(spark, sf_dir, "scored_pairs").where("score between 0.7 and 1 and abs(left_id % 30 - right_id % 30) <= 3 and left_id % 30 <> right_id % 30")
-    edges = pairs.select((F.col("left_id") % 30).alias("s"), (F.col("right_id") % 30).alias("t"), F.coalesce(F.col("rule_id") == "close-names", F.lit(False)).alias("weak"))
+    pairs = table(spark, sf_dir, "scored_pairs").where("score between 0.7 and 1 and left_id <> right_id")
+    edges = pairs.select(F.col("left_id").alias("s"), F.col("right_id").alias("t"), F.coalesce(F.col("rule_id") == "close-names", F.lit(False)).alias("weak"))
     return graph.cycle_kinds(edges, "s", "t", "weak")
 
 

@@ -1,8 +1,7 @@
 """Whole jobs: long sequences, long chains and all rows, against brute force where the registered SQL states less."""
 
 import datetime
-
-import pytest
+import random
 
 from strandline.operators import fields, graph
 from strandline.plans import registry
@@ -76,3 +75,40 @@ def test_fields_of_remote_ancestors(spark):
     types = spark.createDataFrame([(f"t{i:02}", [f"f{i:02}"], [f"t{i + 1:02}"]) for i in range(45)] + [("x", ["fx"], ["y"]), ("y", ["fy"], ["x"])], "name string, f array<string>, p array<string>")
     wanted = [(f"t{i:02}", [f"f{j:02}" for j in range(i, 45)]) for i in range(45)] + [("x", ["fx", "fy"]), ("y", ["fx", "fy"])]
     assert ids(fields.inherited_fields(types, "name", "f", "p")) == wanted
+
+
+def reached(edges):
+    """Of each node all that it reaches."""
+    out = {}
+    for first in {a for a, _ in edges}:
+        seen, todo = set(), [first]
+        while todo:
+            at = todo.pop()
+            todo += [b for a, b in edges if a == at and b not in seen]
+            seen |= {b for a, b in edges if a == at}
+        out[first] = seen
+    return out
+
+
+def test_cycles_of_the_links_themselves(spark, tmp_path):
+    rng = random.Random(5)
+    # 40 and 70 are the same modulo 30, as are 5 and 35; 100 and 220 are far apart modulo 30
+    rows = [(40, 70, "same-shape", 0.9), (70, 40, "same-shape", 0.9), (100, 220, "close-names", 0.8), (220, 100, "close-names", 0.8), (1, 5, "same-shape", 0.9), (35, 31, "same-shape", 0.9), (6, 6, "same-shape", 0.9), (8, 9, "same-shape", 0.9), (9, 8, "same-shape", 0.5)]
+    rows += [(a, b, rng.choice(["same-shape", "close-names", None]), 0.7 + rng.random() * 0.3) for a, b in ((rng.randrange(300, 380), rng.randrange(300, 380)) for _ in range(110))]
+    spark.createDataFrame(rows, "left_id long, right_id long, rule_id string, score double").write.parquet(f"{tmp_path}/scored_pairs.parquet")
+    weak = {}
+    for a, b, rule, score in rows:
+        if score >= 0.7 and a != b:
+            weak[a, b] = weak.get((a, b), True) and rule == "close-names"
+    every, strong = reached(set(weak)), reached({e for e, w in weak.items() if not w})
+    cycles = {}
+    for a in every:
+        if a in every[a]:
+            cycles.setdefault(min(b for b in every[a] if a in every.get(b, ())), set()).add(a)
+    wanted = []
+    for first, nodes in cycles.items():
+        runtime = any(n in strong.get(n, ()) for n in nodes)
+        only = all(w for (a, b), w in weak.items() if a in nodes and b in nodes)
+        wanted.append((first, len(nodes), "runtime" if runtime else "type only" if only else "mixed"))
+    assert {(40, 2, "runtime"), (100, 2, "type only")} < set(wanted)
+    assert ids(registry.QUERIES["link_cycles"](spark, str(tmp_path))) == sorted(wanted)
