@@ -35,6 +35,17 @@ def uncovered_sets(sets: DataFrame, key: str, fields: str, declared: DataFrame,
     return each.join(covered, "id", "left_anti").select(F.col("id").alias(key), F.array_join(F.array_sort("f"), ",").alias("fields"))
 
 
+def uncovered_by_others(sets: DataFrame, key: str, fields: str) -> DataFrame:
+    """Sets that no other key's set covers; one row for each key. A set that two keys have is covered by itself, so only the rest is joined, on its rarest field."""
+    each = sets.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(fields)).alias("f")).where(F.size("f") > 0)
+    known = cut(each.groupBy("f").agg(F.count("*").alias("n"), F.min("id").alias("id")))
+    exploded = known.select("id", "f", "n", F.explode("f").alias("field"))
+    rarity = exploded.groupBy("field").agg(F.count("*").alias("df"))
+    rare = exploded.where("n = 1").join(rarity, "field").groupBy("id").agg(F.min(F.struct("df", "field")).alias("r"), F.any_value("f").alias("f")).select("id", "f", F.col("r.field").alias("field"))
+    covered = rare.join(exploded.select("field", F.col("f").alias("d")), "field").where((F.size("d") > F.size("f")) & (F.size(F.array_except("f", "d")) == 0)).select("id").distinct()
+    return known.where("n = 1").join(covered, "id", "left_anti").select(F.col("id").alias(key), F.array_join("f", ",").alias("fields"))
+
+
 def field_pairs(sets: DataFrame, fields: str, least: int) -> DataFrame:
     """(field_a, field_b, support) of fields that stand together in at least so many sets; rarer fields are left out beforehand."""
     each = sets.select(F.monotonically_increasing_id().alias("row"), F.array_sort(F.array_distinct(fields)).alias("f"))

@@ -112,3 +112,14 @@ def test_cycles_of_the_links_themselves(spark, tmp_path):
         wanted.append((first, len(nodes), "runtime" if runtime else "type only" if only else "mixed"))
     assert {(40, 2, "runtime"), (100, 2, "type only")} < set(wanted)
     assert ids(registry.QUERIES["link_cycles"](spark, str(tmp_path))) == sorted(wanted)
+
+
+def test_every_set_is_asked_against_all_others(spark, tmp_path):
+    rng = random.Random(3)
+    sets = {1: "ab", 2: "abc", 4: "xy", 7: "xyz", 3: "pq", 6: "pqr", 9: "same", 12: "same", 5: "", 8: "u", 10: "v", 11: "vw"}
+    sets |= {100 + i: "".join(sorted(rng.sample("ABCDEFG", rng.randrange(1, 6)))) for i in range(25)}
+    rows = [(u, 0, "interface", {c: "string" for c in f}) for u, f in sets.items()] + [(500, 0, "function", {"zz": "string"}), (501, 0, "type", None)]
+    spark.createDataFrame(rows, "unit_id long, scanned_at int, kind string, field_types map<string,string>").write.parquet(f"{tmp_path}/units.parquet")
+    wanted = [(u, ",".join(sorted(set(f)))) for u, f in sets.items() if f and not any(set(f) <= set(g) for v, g in sets.items() if v != u)]
+    assert {2, 6, 7, 8, 11} <= {u for u, _ in wanted} and not {1, 3, 4, 9, 10, 12} & {u for u, _ in wanted}
+    assert ids(registry.QUERIES["key_set_groups"](spark, str(tmp_path))) == sorted(wanted)
