@@ -40,9 +40,16 @@ _LAST_COMMENT = re.compile(r"(?://[^\r\n]*|/\*(?:(?!\*/)[\s\S])*\*/)\s*$")
 _TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[\w$]+|[^\s\w]")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w$])-?(?:0[xX][\da-fA-F]+|\d[\d_.]*)(?![\w$])")
 _COMMENTS = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|//[^\n]*|/\*[\s\S]*?\*/")
+_PIECE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?P<comment>//[^\r\n]*|/\*[\s\S]*?\*/)")
+_PASSED_ON = re.compile(r"^[ \t]*(?:import\b(?:[^;'\"=()]*?\bfrom)?|export\b[^;'\"=()]*?\bfrom)\s*(?:\"[^\"\n]*\"|'[^'\n]*')[ \t]*;?|^[ \t]*['\"]use [a-z ]+['\"][ \t]*;?", re.M)
+_DOCUMENT = re.compile(r"\s*\{\s*(?:\"|\}\s*$)")
 _WORDS = re.compile(r"(?<![\w$.\"'])[A-Za-z_$][\w$]*")
 _WORKING = frozenset(WORD[w] for w in ("function", "if", "for", "while", "switch", "return", "class", "interface", "type", "try", "throw", "do")) | {"a"}
 KEYWORDS = frozenset(WORD)
+#: A text of fewer characters is data only if it has many literals, or hardly anything else; a JSON object has a wrong ending then.
+SHORT = 300
+MANY_LITERALS = 12
+NOTHING_ELSE = 0.8
 
 
 def masked_kinds(text: str) -> str:
@@ -68,9 +75,7 @@ def signs(path: str | None, text: str | None, kinds: str) -> tuple[list[str], bo
     for name, pattern in (("vendored_path", VENDORED_PATH), ("built_path", BUILT_PATH), ("generated_path", GENERATED_PATH)):
         if pattern.search(path):
             found.append(name)
-    banner = _BANNER.match(text.lstrip("﻿")).group()[:4000]
-    tail = _LAST_COMMENT.search(text[-2000:].rstrip())
-    edges = banner + "\n" + (tail.group() if tail else "")
+    edges = _BANNER.match(text.lstrip("﻿")).group() + "\n" + _closing(text)
     if GENERATED_TEXT.search(edges):
         found.append("generated_text")
     if VENDORED_TEXT.search(edges):
@@ -80,8 +85,6 @@ def signs(path: str | None, text: str | None, kinds: str) -> tuple[list[str], bo
     if WRAPPER_TEXT.search(text):
         found.append("wrapper")
     literal = False
-    if len(text) < 300:
-        return found, literal
     lines = text.count("\n") + 1
     works = sum(map(kinds.count, _WORKING))
     long_lines, no_work = len(text) / lines > 80, works == 0
@@ -90,18 +93,24 @@ def signs(path: str | None, text: str | None, kinds: str) -> tuple[list[str], bo
         return found, literal
     code = _COMMENTS.sub(r"\1", text) if "/" in text else text
     solid = len("".join(code.split()))
-    if solid < 300:
+    short = solid < SHORT
+    if short:  # what a short text imports or passes on would outweigh the rest
+        code = _PASSED_ON.sub("", code)
+        solid = len("".join(code.split()))
+        serial = serial and _serial(masked_kinds(code))
+    if not solid:
         return found, literal
     if long_lines or no_work:
-        bare = _LITERAL.sub("", code)
+        bare, literals = _LITERAL.subn("", code)
         bare_solid = len("".join(bare.split()))
         if long_lines:
             names = [w for w in _WORDS.findall(bare) if w not in KEYWORDS]
-            short = sum(len(w) <= 2 for w in names) / max(1, len(names))
+            brief = sum(len(w) <= 2 for w in names) / max(1, len(names))
             spaces = (len(bare) - bare_solid) / max(1, len(bare))
-            if len(names) >= 30 and short >= 0.4 and spaces < 0.12:
+            if len(names) >= 30 and brief >= 0.4 and spaces < 0.12:
                 found.append("minified")
-        literal = no_work and (solid - bare_solid) / solid >= 0.45
+        share = (solid - bare_solid) / solid
+        literal = no_work and share >= 0.45 and (not short or (literals >= MANY_LITERALS or share >= NOTHING_ELSE) and not _DOCUMENT.match(code))
         if literal:
             found.append("data")
     if serial and _at_depth_zero(code):
@@ -109,6 +118,23 @@ def signs(path: str | None, text: str | None, kinds: str) -> tuple[list[str], bo
     return found, literal
 
 
+def _closing(text: str) -> str:
+    """All comments that end a text, from the first that nothing but comments follows."""
+    rest = text.rstrip()
+    if not rest.endswith("*/") and "//" not in re.split(r"[\r\n]", rest[rest.rfind("\n") + 1 :])[-1]:
+        return ""
+    begin = end = 0
+    for m in _PIECE.finditer(rest):
+        if m.group("comment"):
+            if rest[end : m.start()].strip():
+                begin = m.start()
+            end = m.end()
+    if end == len(rest):
+        return rest[begin:]
+    last = _LAST_COMMENT.search(rest)  # a quote in a regular expression can hide it from the pieces
+    return last.group() if last else ""
+
+
 TOP = frozenset(WORD[w] for w in ("export", "const", "var", "let"))
 
 
