@@ -68,6 +68,11 @@ def masked_kinds(text: str) -> str:
     return "".join(out)
 
 
+def code_tokens(text: str) -> list[str]:
+    """The text's tokens as written, without comments."""
+    return [t for t in _TOKEN.findall(text) if not t.startswith(("//", "/*"))]
+
+
 def signs(path: str | None, text: str | None, kinds: str) -> tuple[list[str], bool]:
     """The signs a file bears by itself, and whether all it consists of is literals. Null and empty texts bear none."""
     path, text = (path or "").replace("\\", "/"), text or ""

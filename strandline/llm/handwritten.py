@@ -4,20 +4,23 @@ Each file becomes the set of its masked five-token shingles. MinHash prefixes (n
 pairs, exact likeness of 0.9 or more verifies them, and the links form clusters. A cluster within one
 repository is a family, as generators make; one across repositories is what copying makes; one of nothing
 but literals is a set of blobs. The signs a file bears (its path, its banner, the shape of its tokens) say
-which clusters those are: template-like code written by hand forms clusters too. A file comes out by its
-own signs, or because it belongs to a cluster of that kind.
+which clusters those are: template-like code written by hand forms clusters too. Where signs leave a cluster of two files or more
+undecided, its members' tokens are compared as written: near-identical ones of several repositories, or beside
+one with a sign of its origin, are copies. A file comes out by its own signs, or because it belongs to a cluster of
+that kind.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.file_evidence import masked_kinds, signs
+from strandline.llm.file_evidence import code_tokens, masked_kinds, signs
 from strandline.llm.neardup import set_groups
 from strandline.runtime import cut
 
@@ -60,11 +63,22 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.list_(pa.string())), pa.array(literal, pa.bool_()), lists], names=["id", "repo", "seen", "signs", "literal", "hashes"])
 
 
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of five consecutive tokens as written, comments left out."""
+    for batch in batches:
+        hashes = []
+        for text in batch.column("text").to_pylist():
+            tokens = code_tokens(text or "")
+            runs = {"\0".join(tokens[i : i + SHINGLE]) for i in range(max(1, len(tokens) - SHINGLE + 1))} if tokens else set()
+            hashes.append(sorted(int.from_bytes(blake2b(x.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for x in runs))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("seen"), pa.array(hashes, pa.list_(pa.int64()))], names=["id", "seen", "hashes"])
+
+
 def file_origins(files: DataFrame, key: str = "file_id", order: str = "ingested_at") -> DataFrame:
     """(key, repo, signs, cluster_id, cluster_files, cluster_repos, cluster_kind, handwritten) for every file; needs repo, path, text.
 
-    cluster_kind is 'family', 'copies' or 'blobs' for clusters that signs confirm, else null; a file in no
-    cluster is its own. Rows of one key count once, the one with the greatest `order`; null and empty texts
+    cluster_kind is 'family', 'copies' or 'blobs' for clusters that signs confirm, 'copies' also for members of
+    other clusters that are nearly the same as written, else null; a file in no cluster is its own. Rows of one key count once, the one with the greatest `order`; null and empty texts
     are hand-written unless their path says otherwise.
     """
     rows = files.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), "repo", F.col(order).cast("timestamp").alias("seen"), "path", "text")
@@ -88,6 +102,20 @@ def file_origins(files: DataFrame, key: str = "file_id", order: str = "ingested_
         .when(confirmed & (F.col("content_share") >= 0.5) & (F.col("cluster_repos") == 1), "family")
         .when(confirmed & ((F.col("content_share") >= 0.5) | (F.col("origin_share") >= 0.75)), "copies")
     )
-    judged = placed.join(clusters, "cluster_id").withColumn("cluster_kind", kind)
+    judged = cut(placed.join(clusters, "cluster_id").withColumn("cluster_kind", kind))
+    copied = _copied(rows, judged.where("cluster_kind is null and cluster_files >= 2").select("id", "repo", "origin"))
+    judged = judged.join(copied, "id", "left").withColumn("cluster_kind", F.coalesce("cluster_kind", "copied"))
     handwritten = (F.size("signs") == 0) & F.col("cluster_kind").isNull()
     return judged.select(F.col("id").alias(key), "repo", "signs", "cluster_id", "cluster_files", "cluster_repos", "cluster_kind", handwritten.alias("handwritten"))
+
+
+def _copied(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, copied): 'copies' for those of members(id, repo, origin) whose tokens as written are nearly another's: one of another repository, or one taken over by its own signs."""
+    members = cut(members)
+    texts = rows.join(members.select("id"), "id", "left_semi").select("id", "seen", "text")
+    written = cut(texts.mapInArrow(_written, "id long, seen timestamp, hashes array<bigint>"))
+    if written.isEmpty():
+        return members.select("id", F.lit("copies").alias("copied")).limit(0)
+    groups = set_groups(written, LIKENESS, depth=DEPTH).join(members, "id")
+    alike = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("repo").alias("repos"), F.max("origin").alias("origin")).where("n >= 2 and (repos >= 2 or origin)")
+    return groups.join(alike.select("group_id"), "group_id", "left_semi").select("id", F.lit("copies").alias("copied"))
