@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 
-from strandline.sources.ecma_lex import END, IDENT, NAME, WORD, LexError, careful_kinds, fast_kinds
+from strandline.sources.ecma_lex import END, GENERIC_PLAIN, IDENT, NAME, WORD, LexError, careful_kinds, fast_tokens, kinds_of
 
 (BREAK, CASE, CATCH, CLASS, CONST, CONTINUE, DEBUGGER, DEFAULT, DELETE, DO, ELSE, ENUM, EXPORT, EXTENDS, FINALLY, FOR, FUNCTION, IF, IMPORT, IN, INSTANCEOF, NEW, RETURN, SWITCH, THROW, TRY, TYPEOF, VAR, VOID, WHILE, WITH) = (
     WORD[w] for w in "break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new return switch throw try typeof var void while with".split()
@@ -50,8 +50,10 @@ class _Memory:
 _memory = _Memory()
 
 
-class _Parser:
-    def __init__(self, kinds: str, typed: bool, jsx: bool = False) -> None:
+class _Tokens:
+    """A text's token kinds without line ends, where its lines begin, and the partner of each bracket."""
+
+    def __init__(self, kinds: str) -> None:
         lines = kinds.split("\n")
         self.t = "".join(lines) + END
         n = len(self.t)
@@ -64,15 +66,6 @@ class _Parser:
                 self.nl[at] = 1
                 at += len(line)
         self.nl[n - 1] = 1
-        self.i = 0
-        self.typed = typed
-        self.assertions = typed and not jsx
-        self.ctx = 0
-        self.in_ok = True
-        self.cond = 0
-        self._match()
-
-    def _match(self) -> None:
         self.close = close = array("i", bytes(4 * len(self.t)))
         stack: list[int] = []
         t = self.t
@@ -88,6 +81,17 @@ class _Parser:
         if stack:
             raise SyntaxFailure("a bracket isn't closed")
 
+
+class _Parser:
+    def __init__(self, tokens: _Tokens, typed: bool, jsx: bool = False) -> None:
+        self.t, self.line_at, self.nl, self.close = tokens.t, tokens.line_at, tokens.nl, tokens.close
+        self.i = 0
+        self.typed = typed
+        self.assertions = typed and not jsx
+        self.ctx = 0
+        self.in_ok = True
+        self.cond = 0
+
     def fail(self, what: str = "unexpected token") -> None:
         raise SyntaxFailure(f"{what} (token {self.i})")
 
@@ -1459,33 +1463,70 @@ GRAMMARS = {"ts": (True, False), "mts": (True, False), "cts": (True, False), "ts
 _MAYBE_JSX = re.compile(r"</|/>")
 
 
-def _attempt(kinds: str, typed: bool, jsx: bool) -> str | None:
-    try:
-        _Parser(kinds, typed, jsx).module()
-    except SyntaxFailure as error:
-        return str(error)
-    except RecursionError:
-        return "nested too deeply"
-    return None
+class Source:
+    """A module's text that is checked in several grammars: it is split into tokens once."""
+
+    def __init__(self, text: str | None) -> None:
+        text = text or ""
+        self.text = text[1:] if text[:1] == "\ufeff" else text
+        self.tokens = fast_tokens(self.text)
+        self.kinds = kinds_of(self.tokens)
+        # a slash after an operand may divide or begin a regular expression: only the careful lexer knows
+        self.certain = self.kinds is not None and "/" not in self.tokens and "/=" not in self.tokens and not ("r" in self.kinds and any(x[0] == "}" and len(x) > 1 for x in self.tokens))
+        self.maybe_jsx = bool(_MAYBE_JSX.search(self.text))
+        self._prepared: dict[str, _Tokens | str] = {}
+        self._careful: dict[tuple[bool, bool, bool], str | LexError] = {}
+        self._known: dict[tuple[str, bool, bool], str | None] = {}
+
+    def _attempt(self, kinds: str, typed: bool, jsx: bool) -> str | None:
+        # JSX changes only what a < may mean
+        key = (kinds, typed, jsx and "<" in kinds)
+        if key in self._known:
+            return self._known[key]
+        if kinds not in self._prepared:
+            try:
+                self._prepared[kinds] = _Tokens(kinds)
+            except SyntaxFailure as error:
+                self._prepared[kinds] = str(error)
+        tokens = self._prepared[kinds]
+        error = tokens if isinstance(tokens, str) else None
+        if error is None:
+            try:
+                _Parser(tokens, typed, jsx).module()
+            except SyntaxFailure as failure:
+                error = str(failure)
+            except RecursionError:
+                error = "nested too deeply"
+        self._known[key] = error
+        return error
+
+    def _kinds(self, jsx: bool, typed: bool, plain_generic: bool) -> str | LexError:
+        key = (jsx, jsx and typed, plain_generic)
+        if key not in self._careful:
+            try:
+                self._careful[key] = careful_kinds(self.text, jsx, typed, plain_generic)
+            except LexError as bad:
+                self._careful[key] = bad
+        return self._careful[key]
+
+    def error(self, grammar: str) -> str | None:
+        """What is wrong with the text in a grammar of GRAMMARS, or None if it parses; empty texts are valid."""
+        if not self.text:
+            return None
+        typed, jsx = GRAMMARS[grammar]
+        if self.kinds is not None and not (jsx and self.maybe_jsx):
+            error = self._attempt(self.kinds, typed, jsx)
+            if error is None or self.certain:
+                return error
+        error = None
+        for plain_generic in (False, True) if typed and jsx and GENERIC_PLAIN.search(self.text) else (False,):
+            kinds = self._kinds(jsx, typed, plain_generic)
+            error = str(kinds) if isinstance(kinds, LexError) else self._attempt(kinds, typed, jsx)
+            if error is None:
+                return None
+        return error
 
 
 def syntax_error(text: str | None, grammar: str) -> str | None:
     """What is wrong with a module's text in a grammar of GRAMMARS, or None if it parses; null and empty texts are valid."""
-    if not text:
-        return None
-    typed, jsx = GRAMMARS[grammar]
-    if text[0] == "﻿":
-        text = text[1:]
-    if not jsx or not _MAYBE_JSX.search(text):
-        kinds = fast_kinds(text)
-        if kinds is not None and _attempt(kinds, typed, jsx) is None:
-            return None
-    error = None
-    for plain_generic in (False, True) if typed and jsx else (False,):
-        try:
-            error = _attempt(careful_kinds(text, jsx, typed, plain_generic), typed, jsx)
-        except LexError as bad:
-            error = str(bad)
-        if error is None:
-            return None
-    return error
+    return Source(text).error(grammar) if text else None

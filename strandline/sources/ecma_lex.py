@@ -91,11 +91,14 @@ class LexError(ValueError):
     pass
 
 
-def fast_kinds(text: str) -> str | None:
-    """The kinds of a text's tokens, or None where only the careful lexer can tell. Templates with substitutions also go there."""
-    if text.startswith("#!"):
-        text = "//" + text
-    kinds = "".join(map(_table.__getitem__, _FAST.findall(text)))
+def fast_tokens(text: str) -> list[str]:
+    """The texts of a text's tokens in order, comments and line ends among them; any text has some."""
+    return _FAST.findall("//" + text if text.startswith("#!") else text)
+
+
+def kinds_of(tokens: list[str]) -> str | None:
+    """The kinds of these tokens, or None where only the careful lexer can tell. Templates with substitutions also go there."""
+    kinds = "".join(map(_table.__getitem__, tokens))
     if "\x02" in kinds:
         kinds = _checked_templates(kinds)
         if kinds is None:
@@ -103,6 +106,11 @@ def fast_kinds(text: str) -> str | None:
     return None if ERROR in kinds else kinds
 
 
+def fast_kinds(text: str) -> str | None:
+    """kinds_of the text's tokens."""
+    return kinds_of(fast_tokens(text))
+
+
 _template_ok: dict[str, bool] = {}
 
 
@@ -121,7 +129,7 @@ _JSX_NAME = re.compile(r"[A-Za-z_$][\w$-]*(?:(?:\.|:)[A-Za-z_$][\w$-]*)*")
 _JSX_SPACE = re.compile(rf"(?:\s|{_COMMENT})*")
 _JSX_TEXT = re.compile(r"[^<>{}]*")
 _GENERIC_ARROW = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
-_GENERIC_PLAIN = re.compile(r"<\s*[A-Za-z_$][\w$]*\s*>\s*\(")
+GENERIC_PLAIN = re.compile(r"<\s*[A-Za-z_$][\w$]*\s*>\s*\(")
 #: kinds after which an operand has just ended
 _OPERAND = frozenset("inrstlS)]}jh") | frozenset(WORD[w] for w in CONTEXTUAL)
 _HEADS = frozenset(WORD[w] for w in ("if", "while", "for", "with"))
@@ -248,7 +256,7 @@ def careful_kinds(text: str, jsx: bool, typed: bool, plain_generic: bool = False
             at = template(at + 1)
             continue
         if c == "<" and jsx and not operand and re.match(r"<\s*(?:>|[A-Za-z_$])", text[at : at + 80]):
-            if not (typed and (_GENERIC_ARROW.match(text, at) or plain_generic and _GENERIC_PLAIN.match(text, at))):
+            if not (typed and (_GENERIC_ARROW.match(text, at) or plain_generic and GENERIC_PLAIN.match(text, at))):
                 out.append("J")
                 at = jsx_tag(at)
                 continue
@@ -265,11 +273,8 @@ def careful_kinds(text: str, jsx: bool, typed: bool, plain_generic: bool = False
         at, token, what = m.end(), m.group(), m.lastgroup
         if what == "ws":
             continue
-        if what == "nl":
-            out.append("\n")
-            continue
-        if what == "com":
-            if "\n" in token:
+        if what == "nl" or what == "com":
+            if (what == "nl" or "\n" in token) and out[-1:] != ["\n"]:
                 out.append("\n")
             continue
         if what == "str":
