@@ -36,13 +36,16 @@ _ESCAPE = r"\\(?:\r\n|[\s\S])"
 _REGEX = rf"/(?![*/])(?:[^\\/\[\r\n]|\\[^\r\n]|\[(?:[^\]\\\r\n]|\\[^\r\n])*\])+/[A-Za-z]*"
 _COMMENT = r"//[^\r\n\u2028\u2029]*|/\*[\s\S]*?\*/"
 _STRING = rf"\"(?:[^\"\\\r\n]|{_ESCAPE})*\"|'(?:[^'\\\r\n]|{_ESCAPE})*'"
+#: comments and strings of which the end may be missing: they reach to the end of the text or line, so that no other beginning is tried in them
+_OPEN = rf"//[^\r\n\u2028\u2029]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\\r\n]|{_ESCAPE})*+\"?|'(?:[^'\\\r\n]|{_ESCAPE})*+'?"
 _NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)n?(?![\w$])"
 _WORD = r"(?:[\w$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})+"
 _OPERATOR = r">>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*"
 _TEMPLATE = rf"`(?:[^`\\$]|{_ESCAPE}|\$(?!\{{)|\$\{{[^`{{}}'\"/]*\}})*`"
 #: an operator after which a slash must begin a regular expression, with that expression
 _BEFORE_REGEX = r"[=(,:\[!&|?{};~]"
-_FAST = re.compile(rf"[\r\n]\s*|{_COMMENT}|{_STRING}|{_BEFORE_REGEX}\s*{_REGEX}|{_NUMBER}|{_WORD}|{_TEMPLATE}|#{_WORD}|{_OPERATOR}|\S")
+_FAST = re.compile(rf"[\r\n]\s*|{_OPEN}|{_BEFORE_REGEX}\s*{_REGEX}|{_NUMBER}|{_WORD}|{_TEMPLATE}|#{_WORD}|{_OPERATOR}|\S")
+_CLOSED = re.compile(_STRING)
 _SUBSTITUTION = re.compile(r"\$\{([^}]*)\}")
 
 
@@ -65,10 +68,12 @@ class _Kinds(dict):
         if first in "\r\n":
             return "\n"
         if first in "\"'":
-            return "s" if len(token) > 1 else ERROR
+            return "s" if _CLOSED.fullmatch(token) else ERROR
         if token.startswith("//"):
             return ""
-        if token.startswith("/*") and len(token) > 3:
+        if token.startswith("/*"):
+            if len(token) < 4 or not token.endswith("*/"):
+                return ERROR
             return "\n" if "\n" in token or "\r" in token else ""
         if first == "`":
             return ("t" + "".join(f"\x02{s}\x03" for s in _SUBSTITUTION.findall(token)) if "${" in token else "t") if len(token) > 1 else ERROR
@@ -122,7 +127,7 @@ def _checked_templates(kinds: str) -> str | None:
     return re.sub("\x02.*?\x03", "", kinds, flags=re.S)
 
 
-_CAREFUL = re.compile(rf"(?P<nl>[\r\n\u2028\u2029])|(?P<ws>\s+|\ufeff)|(?P<com>{_COMMENT})|(?P<str>{_STRING})|(?P<num>{_NUMBER})|(?P<word>#?{_WORD})|(?P<op>{_OPERATOR}|[(){{}}\[\];,:.=?!~<>*&|@%^/+-])")
+_CAREFUL = re.compile(rf"(?P<nl>[\r\n\u2028\u2029])|(?P<ws>\s+|\ufeff)|(?P<com>{_COMMENT})|(?P<open>/\*)|(?P<str>{_STRING})|(?P<num>{_NUMBER})|(?P<word>#?{_WORD})|(?P<op>{_OPERATOR}|[(){{}}\[\];,:.=?!~<>*&|@%^/+-])")
 _REGEX_RE = re.compile(_REGEX)
 _TEMPLATE_CHARS = re.compile(rf"(?:[^`\\$]|{_ESCAPE}|\$(?!\{{))*")
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$-]*(?:(?:\.|:)[A-Za-z_$][\w$-]*)*")
@@ -277,6 +282,8 @@ def careful_kinds(text: str, jsx: bool, typed: bool, plain_generic: bool = False
             if (what == "nl" or "\n" in token) and out[-1:] != ["\n"]:
                 out.append("\n")
             continue
+        if what == "open":
+            raise LexError("comment isn't closed")
         if what == "str":
             out.append("s")
         elif what == "num":
