@@ -105,8 +105,20 @@ def parses_css(text: str) -> bool:
 
 
 def _selects(item: list[tuple[str, str]]) -> bool:
-    """Whether the tokens before a block are selectors, or the percentages of a key frame."""
-    return all(kind in ("word", "string") or kind == "number" and token[-1] == "%" or kind == "number" and n and item[n - 1][1] in ("(", "+", "-") or kind == "number" and any(t[-1] == "(" for _, t in item[:n]) or token in _CSS_SELECTOR_MARKS for n, (kind, token) in enumerate(item)) and item[-1][1] not in (",", ".", ":")
+    """Whether the tokens before a block are selectors, or the percentages of a key frame; brackets belong to a pseudo-class."""
+    inside = 0
+    for n, (kind, token) in enumerate(item):
+        if kind == "word" and token[-1] == "(":
+            if not n or item[n - 1][1] != ":":
+                return False
+            inside += 1
+        elif token == "(" and not inside:
+            return False
+        elif token in "()":
+            inside += 1 if token == "(" else -1
+        elif kind == "number" and not inside and token[-1] != "%" or kind == "url" or kind == "mark" and token not in _CSS_SELECTOR_MARKS:
+            return False
+    return item[-1][1] not in (",", ".", ":")
 
 
 def _declares(item: list[tuple[str, str]]) -> bool:

@@ -75,7 +75,7 @@ def test_other_grammars():
 
 def test_valid_files_are_tried_in_all_grammars():
     assert judge("a.ts", "const a = 1;")[3] and set(judge("a.ts", "const a = 1;")[3]) == {"ts", "tsx", "js", "mjs"}
-    assert set(judge("a.mts", "export function f(a: number) {}")[3]) == {"ts", "tsx"} and judge("a.jsx", "a(<b/>);")[0]
+    assert set(judge("a.mts", "export function f(a: number): number[] { return [a]; }")[3]) == {"ts", "tsx"} and judge("a.jsx", "a(<b/>);")[0]
     assert judge("a.ts", "{'a': 1}")[3] and set(judge("x.md", "{}")[3]) <= set(CHECKS)
     assert judge("A.TS", "let x = 1;")[0] and judge("a.ts", "")[3] == []
 
