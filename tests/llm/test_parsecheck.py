@@ -81,7 +81,7 @@ def test_valid_files_are_tried_in_all_grammars():
 
 
 def test_verdicts_list_the_grammars(spark):
-    rows = [(1, "r", "a.ts", "let a = 1;", None, "x"), (2, "r", "b.ts", "a:\n  - b\n", None, "x"), (3, None, None, None, None, "x")]
+    rows = [(1, "r", "a.ts", "let a = 1;", None, "x"), (2, "r", "b.ts", "a:\n  - b\n  - c: d\n", None, "x"), (3, None, None, None, None, "x")]
     frame = spark.createDataFrame(rows, "file_id long, repo string, path string, text string, ingested_at timestamp, valid string")
     got = {r.file_id: (r.valid, r.cause, r.parses_as, sorted(r.accepted_by)) for r in parse_verdicts(frame).collect()}
     assert got == {1: (True, None, None, ["js", "mjs", "ts", "tsx"]), 2: (False, "wrong extension", "yaml", ["yaml"]), 3: (True, None, None, [])}
