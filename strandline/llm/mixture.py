@@ -1,19 +1,18 @@
 """Mixing sources to target weights, in blocks of tokens.
 
 The tokens of each source are laid end to end in a pseudorandom order and cut into blocks of one length.
-The size of the mix follows from the targets and what each source can give with its repeats. Each output
-shard draws how many blocks of each source it takes (a multinomial draw, conditioned so that the shards
-together take exactly the wanted number); a slot's running number in its source is mapped by a
+The size of the mix follows from the targets and what each source can give with its repeats. Each slot of a
+source draws its output shard, so that the counts of the sources in the shards are multinomial draws whose
+totals are the wanted numbers; a slot's running number in its source is mapped by a
 pseudorandom permutation of the source's block numbers, a new one for each repeat, and blocks are joined
-by number. No source is ever in one place: offsets come from sums over pieces of it.
+by number. No source is ever in one place: slots are made in runs, offsets come from sums over pieces of it.
+The driver holds one row for each source, whatever the number of blocks or shards.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from strandline.llm.encoding import VOCABULARIES, encode_texts
 from strandline.runtime import cut
@@ -22,6 +21,9 @@ from strandline.runtime import cut
 BLOCK = 512
 #: Documents of a source that are laid end to end in one task.
 PIECE = 4_000
+#: Slots that one row stands for before they are made one by one, and blocks of one output shard on average.
+RUN = 100_000
+SHARD_BLOCKS = 4_096
 SEED = 11
 #: Sources with targets that are mixed at once: their counts are held on the driver.
 MOST_SOURCES = 10_000
@@ -42,8 +44,8 @@ def permuted(number: Column, size: Column, key: Column, rounds: int = 40) -> Col
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), number.cast("long"), swap)
 
 
-def _laid_out(sized: DataFrame, seed: int, block: int) -> DataFrame:
-    """(source, doc_id, ids, start): where each document's tokens begin in its source's stream."""
+def _laid_out(sized: DataFrame, seed: int) -> DataFrame:
+    """(source, doc_id, row, n, start) of sized(source, doc_id, row, n): where each document's tokens begin in its source's stream."""
     pieces = sized.groupBy("source").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
     order = F.xxhash64("doc_id", F.lit(seed))
     placed = sized.join(pieces, "source").withColumns({"order": order, "piece": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), "pieces").cast("int")})
@@ -52,7 +54,7 @@ def _laid_out(sized: DataFrame, seed: int, block: int) -> DataFrame:
     ahead = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("offset", F.coalesce(F.sum("piece_tokens").over(ahead), F.lit(0)))
     started = placed.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(offsets.select("source", "piece", "offset"), ["source", "piece"])
-    return started.select("source", "doc_id", "n", (F.col("offset") + F.col("before")).alias("start"))
+    return started.select("source", "doc_id", "row", "n", (F.col("offset") + F.col("before")).alias("start"))
 
 
 def plan_mix(sources: list[tuple[str, int, float, int]], block: int, tokens: int | None = None) -> dict[str, int]:
@@ -74,22 +76,22 @@ def plan_mix(sources: list[tuple[str, int, float, int]], block: int, tokens: int
     return taken
 
 
-def shard_counts(taken: dict[str, int], shards: int, seed: int) -> list[tuple[int, str, int, int]]:
-    """(shard, source, first, count): multinomial draws of source counts per shard, given the totals: what remains bounds the next draw."""
-    rng = np.random.default_rng(seed)
-    names = sorted(taken)
-    left = np.array([taken[n] for n in names], dtype=np.int64)
-    first = np.zeros(len(names), dtype=np.int64)
-    out = []
-    for shard in range(shards):
-        size = int(round(left.sum() / (shards - shard)))
-        got = rng.multivariate_hypergeometric(left, size, method="marginals") if size and left.sum() < 1_000_000_000 else (left // (shards - shard))
-        for n, k, at in zip(names, got.tolist(), first.tolist()):
-            if k:
-                out.append((shard, n, at, k))
-        first += got
-        left -= got
-    return out
+def draw_slots(spark: SparkSession, taken: dict[str, int], blocks: dict[str, int], shards: int, seed: int) -> DataFrame:
+    """(source, number, shard, pass, block): the slots of each source with the shard each draws and the block it takes.
+
+    Every slot draws for itself, uniformly, by a hash of its source, number and seed: the counts of a source in
+    the shards are then one multinomial draw with its total. Slots are made from runs of RUN numbers, so neither
+    the driver nor a task ever holds all slots of a source.
+    """
+    rows = [(n, k, blocks[n], -(-k // RUN)) for n, k in sorted(taken.items()) if k]
+    runs = spark.createDataFrame(rows, "source string, taken long, blocks long, runs long")
+    runs = runs.select("source", "taken", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run"))
+    if sum(r[3] for r in rows) > 1:
+        runs = runs.repartition("source", "run")
+    first = F.col("run") * RUN
+    numbered = runs.select("source", "blocks", F.explode(F.sequence(first, F.least(first + RUN, F.col("taken")) - 1)).alias("number"))
+    drawn = numbered.withColumns({"shard": F.pmod(F.xxhash64("source", "number", F.lit(seed), F.lit("shard")), F.lit(shards)), "pass": F.expr("number div blocks").cast("int")})
+    return drawn.withColumn("block", permuted(F.pmod("number", "blocks"), F.col("blocks"), F.xxhash64("source", "pass", F.lit(seed)))).drop("blocks")
 
 
 def mix_sources(documents: DataFrame, targets: DataFrame, block: int = BLOCK, shards: int | None = None, tokens: int | None = None, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -99,36 +101,35 @@ def mix_sources(documents: DataFrame, targets: DataFrame, block: int = BLOCK, sh
     tokens; no block, and so no document, is taken more than max_repeats times. shares is (source_name,
     target_share, max_repeats, tokens_available, tokens_taken, actual_share, passes), one row for each target.
     Sources are compared without letter case and outer blanks; those without target (null ones too) stay out;
-    null and empty texts add nothing; a target that names a source twice counts with its summed share. An
-    absent source reaches 0 and the others share its part in proportion.
+    null and empty texts add nothing; rows of one doc_id count once (any of them, if they differ); a target that
+    names a source twice counts with its summed share. An absent source reaches 0 and the others share its part
+    in proportion.
     """
     spark = documents.sparkSession
     wanted = targets.where("source_name is not null").groupBy(normal_source(F.col("source_name")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     encoded = encode_texts(documents.where("doc_id is not null").withColumn("source", normal_source(F.col("source"))).join(wanted.select("source"), "source", "left_semi"), vocabulary=vocabulary, folder=folder, keep=("doc_id", "source"))
-    stream = cut(encoded.where(F.size("ids") > 0))
-    sized = stream.select("source", "doc_id", F.size("ids").cast("long").alias("n"))
+    stream = cut(encoded.where(F.size("ids") > 0).withColumn("row", F.monotonically_increasing_id()))
+    sized = stream.groupBy("doc_id").agg(F.min_by(F.struct("source", "row", F.size("ids").cast("long").alias("n")), "row").alias("r")).select("doc_id", "r.*")
     have = wanted.join(sized.groupBy("source").agg(F.sum("n").alias("has")), "source", "left").select("source", F.coalesce("has", F.lit(0)).alias("has"), F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
     rows = [tuple(r) for r in have.limit(MOST_SOURCES + 1).collect()]
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources with targets")
     taken = plan_mix(rows, block, tokens)
-    shards = shards or max(1, sum(taken.values()) // 4096)
-    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("source", T.StringType()), T.StructField("first", T.LongType()), T.StructField("count", T.LongType())])
-    counts = spark.createDataFrame(shard_counts(taken, shards, seed), schema)
-    blocks_of = spark.createDataFrame([(n, -(-has // block)) for n, has, _, _ in rows if has], "source string, blocks long")
-    slots = counts.join(blocks_of, "source").select("shard", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("number"))
-    once = F.floor(F.col("number") / F.col("blocks")).cast("int")
-    slots = slots.withColumn("pass", once).withColumn("block", permuted(F.pmod("number", "blocks"), F.col("blocks").cast("long"), F.xxhash64("source", "pass", F.lit(seed))))
-
-    laid = _laid_out(sized, seed, block)
+    blocks = {n: -(-has // block) for n, has, _, _ in rows if has}
+    shards = shards or max(1, sum(taken.values()) // SHARD_BLOCKS)
+    slots = draw_slots(spark, taken, blocks, shards, seed)
+
+    laid = _laid_out(sized, seed)
+    # each row goes on with its own part of the tokens only
     begin, end = F.col("start"), F.col("start") + F.col("n") - 1
-    spread = laid.join(stream.select("source", "doc_id", "ids"), ["source", "doc_id"]).select("source", "doc_id", "ids", "start", F.explode(F.sequence(F.floor(begin / block), F.floor(end / block))).alias("block"))
-    low = F.greatest(F.col("block") * block - F.col("start"), F.lit(0))
-    high = F.least((F.col("block") + 1) * block - F.col("start"), F.size("ids"))
-    parts = spread.select("source", "block", F.struct("start", "doc_id", F.slice("ids", (low + 1).cast("int"), (high - low).cast("int")).alias("ids")).alias("part"))
+    low = lambda b: F.greatest(b * block - begin, F.lit(0))
+    high = lambda b: F.least((b + 1) * block - begin, F.col("n"))
+    pieces = F.transform(F.sequence(F.floor(begin / block), F.floor(end / block)), lambda b: F.struct(b.alias("block"), F.greatest(begin, b * block).alias("start"), F.slice("ids", (low(b) + 1).cast("int"), (high(b) - low(b)).cast("int")).alias("ids")))
+    spread = laid.join(stream.select("row", "ids"), "row").select("source", "doc_id", F.explode(pieces).alias("p"))
+    parts = spread.select("source", "p.block", F.struct("p.start", "doc_id", "p.ids").alias("part"))
     # a block holds at most `block` tokens, so at most that many documents
     packed = parts.groupBy("source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts")).select("source", "block", F.col("parts.doc_id").alias("doc_ids"), F.flatten("parts.ids").alias("ids"))
-    mixed = slots.join(packed, ["source", "block"]).select("shard", "source", "block", "pass", "number", "doc_ids", "ids")
+    mixed = slots.join(packed, ["source", "block"]).select(F.col("shard").cast("int").alias("shard"), "source", "block", "pass", "number", "doc_ids", "ids")
     within = Window.partitionBy("shard").orderBy(F.xxhash64("source", "number", F.lit(seed)), "source", "number")
     mix = cut(mixed.select("shard", (F.row_number().over(within) - 1).alias("slot"), F.col("source").alias("source_name"), "block", "pass", F.size("ids").alias("n_tokens"), "doc_ids", "ids"))
     reached = mix.groupBy("source_name").agg(F.sum("n_tokens").alias("tokens_taken"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm.components import connected_components
 from strandline.llm.cooccurrence import item_pairs
-from strandline.llm.mixture import mix_sources, permuted, plan_mix, shard_counts
+from strandline.llm.mixture import draw_slots, mix_sources, permuted, plan_mix
 from strandline.llm.neardup import near_duplicate_groups, trees_needed
 from strandline.llm.setjoin import similar_set_pairs
 
@@ -148,7 +148,33 @@ def test_a_mix_packs_every_token_once_per_pass(spark):
     assert Counter(t for r in mix.collect() for t in r.ids) == Counter(t for _, x, _ in docs for t in encode(x))
 
 
-def test_shard_draws_add_up():
+def test_slots_are_drawn_for_each_source(spark):
     taken = plan_mix([("a", 1000, 0.5, 1), ("b", 300, 0.3, 4), ("c", 0, 0.2, 2)], block=10)
-    drawn = shard_counts(taken, 7, 3)
-    assert {n: sum(k for _, m, _, k in drawn if m == n) for n in taken} == taken and plan_mix([], 10) == {}
+    blocks = {"a": 100, "b": 30}
+    rows = draw_slots(spark, taken, blocks, 7, 3).collect()
+    assert Counter(r.source for r in rows) == taken and plan_mix([], 10) == {} and {r.shard for r in rows} == set(range(7))
+    for name in taken:
+        for p in {r["pass"] for r in rows}:
+            once = [r.block for r in rows if r.source == name and r["pass"] == p]
+            assert len(once) == len(set(once)) and all(0 <= b < blocks[name] for b in once)
+
+
+def test_draws_are_multinomial_at_any_size(spark):
+    # the spread of the counts is that of independent draws
+    many = draw_slots(spark, {"a": 400_000, "b": 200_000}, {"a": 400_000, "b": 50_000}, 64, 5).groupBy("source", "shard").count().collect()
+    for name, total in (("a", 400_000), ("b", 200_000)):
+        counts = [r["count"] for r in many if r.source == name]
+        mean, expected = sum(counts) / 64, total / 64 * (1 - 1 / 64)
+        variance = sum((c - mean) ** 2 for c in counts) / 63
+        assert len(counts) == 64 and sum(counts) == total and 0.5 < variance / expected < 1.7
+    assert draw_slots(spark, {}, {}, 1, 5).collect() == []
+
+
+def test_a_mix_with_long_and_repeated_documents(spark):
+    docs = [(1, "long text " * 3000, "s"), (2, "short", "s"), (2, "short", "s"), (3, "else", "s"), (None, "no id", "s")]
+    targets = spark.createDataFrame([("s", 1.0, 2)], "source_name string, target_share double, max_repeats int")
+    mix, shares = mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string"), targets, block=64)
+    rows = mix.collect()
+    tokens = shares.first().tokens_available
+    assert Counter(r["pass"] for r in rows) == {0: -(-tokens // 64), 1: -(-tokens // 64)} and sum(r.n_tokens for r in rows) == 2 * tokens
+    assert Counter(d for r in rows for d in r.doc_ids)[2] == 2
