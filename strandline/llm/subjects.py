@@ -3,9 +3,10 @@
 A document is the weighted mean of the embeddings of its words, word pairs and character n-grams, hashed
 into a fixed number of rows; a feature weighs as much as the labelled documents that have it differ in
 their subjects from all labelled ones, so what documents of every subject say weighs nothing. One logistic output for each subject makes several or none
-possible. Training runs over partitions of the labelled documents: in every round each partition takes
-its mini-batch steps from the shared model and sends back the change it made, and the changes are
-averaged into the next model. Every document is then scored where it lies.
+possible. The labelled documents are read into features once and written in shards of one size. In every round
+each shard takes its mini-batch steps from the shared model, in a fixed order; the changes are merged by blocks of
+the embedding table, in parallel, and only the merged change, which has the model's size, reaches the driver. Every
+document is then scored where it lies.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ from strandline.runtime import cut
 BUCKETS, DIM = 1 << 17, 16
 #: Labelled documents used at most: the bounded sample the classifier is fitted on.
 MOST_LABELLED = 200_000
-#: Partitions the labelled documents are spread over, and rounds of synchronisation.
-SHARDS, ROUNDS, STEPS = 4, 10, 3
+#: Labelled documents of one shard on average, rounds of synchronisation, and passes of a shard in one round.
+SHARD_DOCS, ROUNDS, STEPS = 400, 10, 3
+#: Rows of the embedding table whose changes are merged together.
+BLOCK = 1 << 12
 #: Labelled documents that the prior stands for when a feature's subjects are counted, and the least divergence that weighs.
 PRIOR, LEAST_DIVERGENCE = 8.0, 0.08
 #: A text with less weight than this in all is drawn towards having no subject.
 LEAST_WEIGHT = 3.0
 RATE, BATCH, SEED = 0.5, 32, 5
+#: Subjects at most: their names and outputs are held by the driver and every task.
+MOST_SUBJECTS = 10_000
 THRESHOLD = 0.33
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -74,45 +79,53 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype=np.int32)
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each feature stands with each subject, one row for each partition, feature and subject; row -1 counts the subjects alone."""
-    seen: dict[tuple[int, int], int] = {}
+_READ = "id {kind}, classes array<int>, shard int, rows array<int>, times array<int>"
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, classes, shard, text) to (id, classes, shard, rows, times): the different feature rows of each text and how often each stands in it."""
     for batch in batches:
-        for text, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = [-1, *np.unique(features(text)).tolist()]
-            for c in classes:
-                for r in rows:
-                    seen[r, c] = seen.get((r, c), 0) + 1
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int32()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["row", "class", "n"])
-
-
-def feature_weights(labelled: DataFrame) -> np.ndarray:
-    """The weight of each feature row of labelled(text, classes): the divergence of its subjects from all, smoothed by the prior; at most BUCKETS numbers reach the driver."""
-    counted = cut(labelled.select("text", "classes").mapInArrow(_counts, "row int, class int, n long").groupBy("row", "class").agg(F.sum("n").cast("double").alias("n")))
-    alone = counted.where("row < 0").select("class", F.col("n").alias("of_class"))
+        rows, times = [], []
+        for text in batch.column(3).to_pylist():
+            r, t = np.unique(features(text), return_counts=True)
+            rows.append(r.astype(np.int32))
+            times.append(t.astype(np.int32))
+        yield pa.RecordBatch.from_arrays([*batch.select([0, 1, 2]).columns, pa.array(rows, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32()))], names=["id", "classes", "shard", "rows", "times"])
+
+
+def feature_weights(read: DataFrame) -> np.ndarray:
+    """The weight of each feature row of read(classes, rows): the divergence of its subjects from all, smoothed by the prior; at most BUCKETS numbers reach the driver."""
+    each = read.select("rows", F.explode("classes").alias("class"))
+    alone = cut(each.groupBy("class").agg(F.count("*").cast("double").alias("of_class")))
+    counted = cut(each.select("class", F.explode("rows").alias("row")).groupBy("row", "class").agg(F.count("*").cast("double").alias("n")))
     whole = alone.agg(F.sum("of_class").alias("whole"))
     prior = alone.crossJoin(F.broadcast(whole)).select("class", (F.col("of_class") / F.col("whole")).alias("prior"))
-    total = counted.where("row >= 0").groupBy("row").agg(F.sum("n").alias("of_row"))
+    total = counted.groupBy("row").agg(F.sum("n").alias("of_row"))
     share = (F.col("n") + PRIOR * F.col("prior")) / (F.col("of_row") + PRIOR)
-    seen = counted.where("row >= 0").join(prior, "class").join(total, "row").groupBy("row", "of_row").agg(F.sum(share * F.log(share / F.col("prior"))).alias("seen"), F.sum("prior").alias("covered"))
+    # sums of doubles in the order of the classes, so that two runs agree to the last digit
+    terms = counted.join(prior, "class").join(total, "row").groupBy("row", "of_row").agg(F.array_sort(F.collect_list(F.struct("class", (share * F.log(share / F.col("prior"))).alias("x"), "prior"))).alias("t"))
+    add = lambda field: F.aggregate("t", F.lit(0.0), lambda a, x: a + x[field])
     # subjects that a feature never stands with all fall by the same factor
     rest = PRIOR / (F.col("of_row") + PRIOR)
-    divergence = F.col("seen") + F.greatest(1 - F.col("covered"), F.lit(0.0)) * rest * F.log(rest)
-    got = seen.select("row", divergence.alias("w")).where(F.col("w") >= LEAST_DIVERGENCE).toPandas()
+    divergence = add("x") + F.greatest(1 - add("prior"), F.lit(0.0)) * rest * F.log(rest)
+    got = terms.select("row", divergence.alias("w")).where(F.col("w") >= LEAST_DIVERGENCE).toPandas()
     weights = np.zeros(BUCKETS, dtype=np.float32)
     weights[got["row"].to_numpy()] = got["w"].to_numpy()
     return weights
 
 
-def _sparse(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _weighed(rows: np.ndarray, times: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different feature rows with a weight; the weights add up to 1, or less for a text that says little."""
-    rows, times = np.unique(features(text), return_counts=True)
     w = weights[rows] * np.sqrt(times)
     kept = w > 0
     rows, w = rows[kept], w[kept]
     return rows, (w / (w.sum() + LEAST_WEIGHT)).astype(np.float32)
 
 
+def _sparse(text: str | None, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return _weighed(*np.unique(features(text), return_counts=True), weights)
+
+
 class Model:
     """Embeddings, outputs and biases."""
 
@@ -143,48 +156,66 @@ class Model:
 SCALE = 8.0
 
 
+_CHANGE = "shard int, block int, n long, sums binary, counts binary"
+
+
 def _shard_steps(shared, weights, r: int, rate: float):
-    """One shard's documents to the change its steps make to the shared model."""
+    """One shard's documents to the changes its steps make to the shared model, by blocks of the embedding table; block -1 is the outputs and biases."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = Model.__new__(Model)
         mine.embed, mine.out, mine.bias = (x.copy() for x in shared.value)
+        pdf = pdf.sort_values("id", kind="stable")
         docs = []
-        for text, own in zip(pdf["text"], pdf["classes"]):
+        for rows, times, own in zip(pdf["rows"], pdf["times"], pdf["classes"]):
             y = np.zeros(len(mine.bias), dtype=np.float32)
             y[np.asarray(own, dtype=int)] = 1
-            docs.append((*_sparse(text, weights.value), y))
-        rng = np.random.default_rng(SEED + r)
+            docs.append((*_weighed(rows, times, weights.value), y))
+        rng = np.random.default_rng([SEED, r])
         for _ in range(STEPS):
             mine.steps(docs, rng.permutation(len(docs)), rate)
         before = shared.value
-        touched = np.unique(np.concatenate([d[0] for d in docs])) if docs else np.empty(0, np.int32)
-        change = [(mine.embed[touched] - before[0][touched]).astype(np.float32), mine.out - before[1], mine.bias - before[2]]
-        return pd.DataFrame([{"n": len(docs), "rows": touched.astype(np.int32).tobytes(), "embed": change[0].tobytes(), "out": change[1].tobytes(), "bias": change[2].tobytes()}])
+        touched = np.zeros(BUCKETS, dtype=np.float32)
+        for rows, _, _ in docs:
+            touched[rows] = 1
+        shard, n = int(pdf["shard"].iloc[0]), len(docs)
+        ends = np.concatenate([(mine.out - before[1]).ravel(), mine.bias - before[2]]).astype(np.float32) * np.float32(n)
+        out = [(shard, -1, n, ends.tobytes(), b"")]
+        for b in np.unique(np.flatnonzero(touched) // BLOCK):
+            part = slice(b * BLOCK, (b + 1) * BLOCK)
+            out.append((shard, int(b), n, (mine.embed[part] - before[0][part]).tobytes(), touched[part].tobytes()))
+        return pd.DataFrame(out, columns=["shard", "block", "n", "sums", "counts"])
 
     return run
 
 
-def train(labelled: DataFrame, classes: int, weights: np.ndarray, rounds: int = ROUNDS, shards: int = SHARDS) -> Model:
-    """A model fitted to labelled(text, classes array<int>, shard) by rounds of steps on each shard and averaging of their changes."""
-    spark = labelled.sparkSession
+def _merge_changes(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The changes of all shards to one block, added in the order of the shards."""
+    pdf = pdf.sort_values("shard")
+    sums = sum(np.frombuffer(x, dtype=np.float32) for x in pdf["sums"])
+    counts = sum(np.frombuffer(x, dtype=np.float32) for x in pdf["counts"])
+    return pd.DataFrame([(0, int(pdf["block"].iloc[0]), int(pdf["n"].sum()), sums.tobytes(), counts.tobytes())], columns=["shard", "block", "n", "sums", "counts"])
+
+
+def train(read: DataFrame, classes: int, weights: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """A model fitted to read(id, classes, shard, rows, times) by rounds of steps on each shard and averaging of their changes."""
+    spark = read.sparkSession
     model = Model(classes)
     weights_b = spark.sparkContext.broadcast(weights)
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((model.embed, model.out, model.bias))
         rate = RATE * (1 - 0.7 * r / rounds)
-
-        sent = labelled.groupBy("shard").applyInPandas(_shard_steps(shared, weights_b, r, rate), "n long, rows binary, embed binary, out binary, bias binary").toPandas()
-        total = max(1, sent["n"].sum())
-        embed, counts = np.zeros_like(model.embed), np.zeros(BUCKETS, dtype=np.float32)
-        for s in sent.itertuples():
-            rows = np.frombuffer(s.rows, dtype=np.int32)
-            embed[rows] += np.frombuffer(s.embed, dtype=np.float32).reshape(-1, DIM)
-            counts[rows] += 1
-            model.out += s.n / total * np.frombuffer(s.out, dtype=np.float32).reshape(model.out.shape)
-            model.bias += s.n / total * np.frombuffer(s.bias, dtype=np.float32)
-        # a feature's row moves by the mean change of the shards that have it
-        model.embed += embed / np.maximum(counts, 1)[:, None]
+        changes = read.groupBy("shard").applyInPandas(_shard_steps(shared, weights_b, r, rate), _CHANGE)
+        merged = changes.groupBy("block").applyInPandas(_merge_changes, _CHANGE).toPandas()
+        for c in merged.itertuples():
+            sums = np.frombuffer(c.sums, dtype=np.float32)
+            if c.block < 0:
+                model.out += sums[: model.out.size].reshape(model.out.shape) / c.n
+                model.bias += sums[model.out.size :] / c.n
+            else:
+                # a feature's row moves by the mean change of the shards that have it
+                counts = np.frombuffer(c.counts, dtype=np.float32)
+                model.embed[c.block * BLOCK : (c.block + 1) * BLOCK] += sums.reshape(-1, DIM) / np.maximum(counts, 1)[:, None]
         shared.unpersist()
     return model
 
@@ -192,17 +223,20 @@ def train(labelled: DataFrame, classes: int, weights: np.ndarray, rounds: int =
 def subject_scores(documents: DataFrame, labels: DataFrame, subjects: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, most_labelled: int = MOST_LABELLED) -> DataFrame:
     """(key, subject, score) of each document and subject whose score reaches the threshold.
 
-    The classifier is fitted on the labelled documents, at most `most_labelled` of them (those with the least
-    hash of their key); scores cover all documents. Labels are compared without letter case and
-    outer blanks; those of unknown subjects or documents don't count, repeats count once. A document with a
-    null, empty or neutral text has no subject; so have all where there are no labels. Ties don't arise: each
-    subject is judged by itself.
+    The classifier is fitted on the labelled documents, or where there are more than `most_labelled` on that many
+    in expectation (those whose key's hash falls below a bound); scores cover all documents. Subjects and labels
+    are compared without letter case and outer blanks: subjects that differ in these alone are one, which
+    comes out under the smallest spelling. Labels of unknown subjects or documents don't count, repeats count once.
+    A document with a null, empty or neutral text has no subject; so have all where there are no labels. Ties
+    don't arise: each subject is judged by itself.
     """
     spark = documents.sparkSession
-    names = sorted(r[0] for r in subjects.where("subject is not null").select("subject").distinct().limit(10_001).collect())
-    if len(names) > 10_000:
-        raise ValueError("more than 10,000 subjects")
-    numbers = spark.createDataFrame([(n.strip().lower(), i) for i, n in enumerate(names)], "known string, number int") if names else None
+    folded = subjects.select(F.lower(F.trim("subject")).alias("known"), "subject").where("known <> ''").groupBy("known").agg(F.min("subject").alias("subject"))
+    spelt = sorted((r.known, r.subject) for r in folded.limit(MOST_SUBJECTS + 1).collect())
+    if len(spelt) > MOST_SUBJECTS:
+        raise ValueError(f"more than {MOST_SUBJECTS} subjects")
+    names = [subject for _, subject in spelt]
+    numbers = spark.createDataFrame([(known, i) for i, (known, _) in enumerate(spelt)], "known string, number int")
     kind = documents.schema[key].dataType.simpleString()
     empty = spark.createDataFrame([], f"`{key}` {kind}, subject string, score double")
     if not names:
@@ -210,13 +244,19 @@ def subject_scores(documents: DataFrame, labels: DataFrame, subjects: DataFrame,
     known = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.lower(F.trim("subject")).alias("known")).join(F.broadcast(numbers), "known")
     known = known.groupBy("id").agg(F.array_sort(F.collect_set("number")).alias("classes"))
     rows = documents.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    labelled = rows.join(known, "id").where("text is not null")
-    sample = labelled.withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(most_labelled)
-    sample = cut(sample.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(SHARDS)).cast("int")).drop("h"))
-    if sample.isEmpty():
+    labelled = rows.where("text is not null").join(known, "id")
+    labelled = cut(labelled.withColumn("h", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1 << 30))))
+    there = labelled.count()
+    if not there:
+        return empty
+    kept = labelled.where(F.col("h") < int((1 << 30) * min(1.0, most_labelled / there)))
+    shards = max(1, round(min(there, most_labelled) / SHARD_DOCS))
+    placed = kept.select("id", "classes", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(shards)).cast("int").alias("shard"), "text")
+    read = cut(placed.repartition("shard").mapInArrow(_read, _READ.format(kind=kind)))
+    if read.isEmpty():
         return empty
-    weights = feature_weights(sample)
-    model = train(sample, len(names), weights)
+    weights = feature_weights(read)
+    model = train(read, len(names), weights)
     shared = spark.sparkContext.broadcast((model.embed, model.out, model.bias, weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -133,3 +133,15 @@ def test_subjects_on_held_out_documents(spark):
     assert len(found & test) / len(test) > 0.9 and len(found & test) / max(1, len(found)) > 0.9
     assert not {x for x in got if x[0] >= 900}
     assert subject_scores(frame, known.limit(0), subjects).collect() == [] and len(features(None)) == 0
+
+
+def test_subjects_fold_by_case_and_two_fits_agree(spark):
+    docs = [(i, ("court judge verdict " if i % 2 else "goal referee match ") * 3 + f"word{i}") for i in range(80)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "Law" if i % 2 else " sport ") for i in range(60)], "doc_id long, subject string")
+    subjects = spark.createDataFrame([("law",), ("LAW",), ("Sport",), (None,), (" ",)], "subject string")
+    first = sorted(tuple(r) for r in subject_scores(frame, labels, subjects).collect())
+    assert {(i, s) for i, s, _ in first} == {(i, "LAW" if i % 2 else "Sport") for i in range(80)}
+    assert first == sorted(tuple(r) for r in subject_scores(frame.repartition(3), labels.repartition(5), subjects).collect())
+    sampled = subject_scores(frame, labels, subjects, most_labelled=40).collect()
+    assert {(r.doc_id, r.subject) for r in sampled} == {(i, s) for i, s, _ in first}
