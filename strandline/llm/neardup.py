@@ -1,11 +1,13 @@
 """Near-duplicate records with small edits: MinHash LSH forest with exact verification.
 
 Each record is its set of different consecutive token pairs. Equal sets collapse to one class by a
-hash of the whole set. Each class gets `trees` label sequences of min-hashes; sorting one tree's
-sequences gives its prefix trie. The forest is walked from long prefixes to short ones: first only
-neighbours in sorted order are compared, which joins the dense families at a cost linear in their
-size; then the prefix is shortened to the depth that the target recall needs, and there all pairs of
-classes that still lie in different groups are compared. Only exact likeness makes a link.
+hash of the whole set. Each class gets `trees` label sequences of min-hashes; sorted, one tree's sequences are
+its prefix trie. The forest is walked from long prefixes to short ones. First, neighbours in sorted order,
+which have the longest prefixes in common, are compared: that joins the dense families at a cost linear in
+their size. Then the prefix is shortened, step by step, to the depth that the target recall needs; at each
+depth only those buckets are opened that hold members of different groups, and only pairs across groups are
+compared. A bucket too large for that is joined on the rarest members of its sets, of which any two sets of the
+wanted likeness share one. Only exact likeness makes a link.
 """
 
 from __future__ import annotations
@@ -27,7 +29,11 @@ TARGET_RECALL = 0.9985
 #: Members of one bucket that form one chain of neighbours; a larger bucket has several.
 CHAIN = 50_000
 SEED = 20_240_229
-HASHES_AT_ONCE = 64
+#: Labels kept below the base depth in each sequence and their bits, and how many of them the walk keeps at its steps.
+BELOW, LABEL_BITS = 7, 9
+STEPS = (3, 0)
+#: Members of a bucket up to which all pairs across its groups are made.
+SMALL_BUCKET = 256
 
 
 def trees_needed(threshold: float, depth: int, recall: float) -> int:
@@ -65,7 +71,7 @@ def signatures(values: np.ndarray, starts: np.ndarray, hashes: int, seed: int =
 
 
 def _forest_keys(trees: int, depth: int):
-    """Batches of (id, hashes) to rows (id, short, long): one row per tree, its prefix of `depth` labels and of twice as many."""
+    """Batches of (id, hashes) to rows (id, bucket, below): one row per tree, a hash of the first `depth` labels and the following labels in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,20 +84,53 @@ def _forest_keys(trees: int, depth: int):
                 values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
                 labels = signatures(values, starts, trees * depth).reshape(trees, depth, -1)
-                short = np.empty((trees, len(sizes)), dtype=np.uint64)
+                bucket = np.empty((trees, len(sizes)), dtype=np.uint64)
+                head = np.zeros((trees, len(sizes)), dtype=np.uint64)
                 for t in range(trees):
                     key = np.full(len(sizes), t + 1, dtype=np.uint64)
                     for d in range(depth):
                         key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + labels[t, d])
-                    short[t] = key
-                # the labels below the short prefix are those of the following tree, so no further hashing is needed
-                long = _mix(short * np.uint64(31) + np.roll(short, -1, axis=0))
+                    bucket[t] = key
+                    for d in range(BELOW):
+                        own = _mix(labels[t, d]) & np.uint64((1 << LABEL_BITS) - 1) if d < depth else np.uint64(0)
+                        head[t] = (head[t] << np.uint64(LABEL_BITS)) | own
+                # the labels below a tree's prefix are the first of the following tree, so no further hashing is needed
+                below = np.roll(head, -1, axis=0)
                 ids = np.tile(part.column(0).to_numpy(), trees)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(short.ravel().view(np.int64)), pa.array(long.ravel().view(np.int64))], names=["id", "short", "long"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bucket.ravel().view(np.int64)), pa.array(below.ravel().view(np.int64))], names=["id", "bucket", "below"])
 
     return run
 
 
+def _by_rarest(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of members(id, part) of different parts that share one of their rarest set members, of which any two sets that alike share one."""
+    own = members.join(sets, "id").select("id", "part", F.size("hashes").alias("n"), F.explode("hashes").alias("gram"))
+    own = cut(own)
+    rare = own.groupBy("gram").agg(F.count("*").alias("df"))
+    ranked = own.join(rare, "gram").groupBy("id", "part", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
+    prefix = cut(ranked.select("id", "part", "n", F.explode(F.slice("g.gram", 1, (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("gram")))
+    # what a single part has, however many members it has, makes no pair
+    both = prefix.groupBy("gram").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("gram")
+    live = cut(prefix.join(both, "gram"))
+    x, y = live.select("gram", F.col("id").alias("x"), F.col("part").alias("px"), F.col("n").alias("nx")), live.select("gram", F.col("id").alias("y"), F.col("part").alias("py"), F.col("n").alias("ny"))
+    met = x.join(y, "gram").where("px < py").where((F.col("nx") >= F.col("ny") * threshold - 1e-9) & (F.col("ny") >= F.col("nx") * threshold - 1e-9))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def _across(placed: DataFrame, sets: DataFrame, threshold: float, small: int) -> DataFrame:
+    """(a, b) of the pairs across groups in the buckets of placed(bucket, prefix, id, part)."""
+    on = ["bucket", "prefix"]
+    live = cut(placed.groupBy(*on).agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select(*on, "n"))
+    opened = cut(placed.join(live, on))
+    few = opened.where(F.col("n") <= small)
+    met = few.select(*on, F.col("id").alias("x"), F.col("part").alias("px")).join(few.select(*on, F.col("id").alias("y"), F.col("part").alias("py")), on).where("px < py")
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    many = opened.where(F.col("n") > small)
+    if not many.isEmpty():
+        pairs = pairs.unionByName(_by_rarest(many.select("id", "part").distinct(), sets, threshold))
+    return pairs.distinct()
+
+
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Those of pairs(a, b) whose sets are at least that alike, counted exactly."""
     left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
@@ -112,7 +151,7 @@ def near_duplicate_groups(records: DataFrame, key: str = "unit_id", tokens: str
     return set_groups(rows, threshold, recall, depth).select(F.col("id").alias(key), "group_id")
 
 
-def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTH) -> DataFrame:
+def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTH, small: int = SMALL_BUCKET) -> DataFrame:
     """(id, group_id) of rows(id, seen, hashes), hashes being sorted and different: the forest over any sets of hashes."""
     base = cut(rows.withColumns({"row": F.monotonically_increasing_id(), "k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(17), F.col("hashes"))}))
     live = base.groupBy("id").agg(F.max_by(F.struct("row", "k1", "k2", (F.size("hashes") > 0).alias("full")), F.struct("seen", "row")).alias("last")).select("id", "last.*").where("full")
@@ -123,29 +162,30 @@ def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL,
     sets = base.select("row", "id", "hashes").join(others, "row", "left_anti").select("id", "hashes")
 
     trees = trees_needed(threshold, depth, recall)
-    keys = sets.mapInArrow(_forest_keys(trees, depth), "id long, short long, long long").repartition("short")
+    keys = sets.mapInArrow(_forest_keys(trees, depth), "id long, bucket long, below long").repartition("bucket")
     # all columns are asked for, so that both uses of the keys read one exchange and signatures are made once
-    shared = keys.groupBy("short").agg(F.count("*").alias("n"), F.max("id").alias("_id"), F.max("long").alias("_long")).where("n > 1 and _id is not null and _long is not null").select("short", "n")
-    buckets = cut(keys.join(shared, "short"))
+    shared = keys.groupBy("bucket").agg(F.count("*").alias("n"), F.max("id").alias("_id"), F.max("below").alias("_below")).where("n > 1 and _id is not null and _below is not null").select("bucket", "n")
+    buckets = cut(keys.join(shared, "bucket"))
 
-    chain = Window.partitionBy("short", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHAIN))).orderBy("long", "id")
+    chain = Window.partitionBy("bucket", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHAIN))).orderBy("below", "id")
     beside = buckets.select("id", F.lead("id").over(chain).alias("next")).where("next is not null and next <> id")
-    first = cut(beside.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")).distinct())
-    links = cut(_links(first, sets, threshold))
-    grouped = connected_components(links)
-    grouped = cut(grouped)
-
-    placed = buckets.where("n > 2").join(grouped.withColumnRenamed("vertex", "id"), "id", "left").select("short", "id", F.coalesce("group_id", "id").alias("part")).distinct()
-    parts = placed.select("short", "part").distinct()
-    apart = parts.join(parts.select("short", F.col("part").alias("other")), "short").where("part < other")
-    across = apart.join(placed.select("short", "part", F.col("id").alias("x")), ["short", "part"]).join(placed.select("short", F.col("part").alias("other"), F.col("id").alias("y")), ["short", "other"])
-    second = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    late = _links(second, sets, threshold)
-    label = grouped.select("vertex", "group_id")
-    bridged = late.join(label.select(F.col("vertex").alias("a"), F.col("group_id").alias("ga")), "a", "left").join(label.select(F.col("vertex").alias("b"), F.col("group_id").alias("gb")), "b", "left")
-    bridges = cut(bridged.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")).distinct())
-    joined = connected_components(bridges).select(F.col("vertex").alias("part"), F.col("group_id").alias("whole"))
-
-    found = members.select("id", "class_id", "members").join(label.withColumnRenamed("vertex", "class_id"), "class_id", "left").withColumn("part", F.coalesce("group_id", "class_id"))
-    found = found.join(joined, "part", "left")
-    return found.where("members > 1 or group_id is not null or whole is not null").select("id", F.coalesce("whole", "part").alias("group_id"))
+    compared = cut(beside.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b")).distinct())
+    grouped = cut(connected_components(cut(_links(compared, sets, threshold))).select(F.col("vertex").alias("id"), F.col("group_id").alias("part")))
+
+    buckets = buckets.where("n > 2").drop("n")
+    for step in STEPS:
+        placed = buckets.join(grouped, "id", "left").select("bucket", F.shiftright("below", LABEL_BITS * (BELOW - step)).alias("prefix"), "id", F.coalesce("part", "id").alias("part"))
+        fresh = cut(_across(placed, sets, threshold, small).join(compared, ["a", "b"], "left_anti"))
+        late = _links(fresh, sets, threshold)
+        bridged = late.join(grouped.select(F.col("id").alias("a"), F.col("part").alias("ga")), "a", "left").join(grouped.select(F.col("id").alias("b"), F.col("part").alias("gb")), "b", "left")
+        bridges = cut(bridged.select(F.coalesce("ga", "a").alias("a"), F.coalesce("gb", "b").alias("b")).distinct())
+        if bridges.isEmpty():
+            compared = compared.unionByName(fresh)
+            continue
+        joined = connected_components(bridges).select(F.col("vertex").alias("old"), F.col("group_id").alias("whole"))
+        alone = bridges.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(grouped.select("id"), "id", "left_anti").withColumn("part", F.col("id"))
+        grouped = cut(grouped.unionByName(alone).join(joined, F.col("part") == F.col("old"), "left").select("id", F.coalesce("whole", "part").alias("part")))
+        compared = compared.unionByName(fresh)
+
+    found = members.select("id", "class_id", "members").join(grouped.select(F.col("id").alias("class_id"), "part"), "class_id", "left")
+    return found.where("members > 1 or part is not null").select("id", F.coalesce("part", "class_id").alias("group_id"))

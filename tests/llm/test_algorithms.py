@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strandline.llm.components import connected_components
 from strandline.llm.cooccurrence import item_pairs
 from strandline.llm.mixture import draw_slots, mix_sources, permuted, plan_mix
-from strandline.llm.neardup import near_duplicate_groups, trees_needed
+from strandline.llm.neardup import near_duplicate_groups, pair_hashes, set_groups, trees_needed
 from strandline.llm.setjoin import similar_set_pairs
 
 
@@ -67,6 +67,25 @@ def test_near_duplicates_equal_brute_force(spark):
     assert near_duplicate_groups(frame.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("small", [1, 3, 1000])
+def test_large_buckets_are_joined_exactly(spark, small):
+    # families that share their opening meet in many buckets without being alike
+    rng = random.Random(7)
+    texts = []
+    for family in range(6):
+        own = [f"f{family}_{i}" for i in range(14)]
+        for _ in range(12):
+            copy = [f"c{i}" for i in range(30)] + own
+            for _ in range(rng.randrange(0, 4)):
+                copy[rng.randrange(30, 44)] = f"e{rng.randrange(500)}"
+            texts.append(copy)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, t array<string>").select("id", F.lit(1).alias("seen"), pair_hashes(F.col("t")).alias("hashes"))
+    sets = {i: set(zip(t, t[1:])) for i, t in enumerate(texts)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b]) - 1e-9]
+    got = {r.id: r.group_id for r in set_groups(frame, 0.7, depth=2, small=small).collect()}
+    assert got == grouped(links) and len(set(got.values())) > 1
+
+
 def test_trees_reach_the_recall():
     for threshold, depth in ((0.7, 6), (0.9, 16)):
         n = trees_needed(threshold, depth, 0.9985)
