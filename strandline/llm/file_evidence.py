@@ -35,9 +35,11 @@ VENDORED_TEXT = re.compile(
 COMPILED_TEXT = re.compile(r"Object\.defineProperty\(exports,\s*[\"']__esModule[\"']|=== void 0 \|\| _\w+ === void 0|\b__webpack_require__\b|\b__(?:awaiter|generator|extends|importDefault|createBinding)\b|^//[#@]\s*sourceMappingURL=", re.M)
 WRAPPER_TEXT = re.compile(r"typeof define === ?[\"']function[\"'] ?&& ?define\.amd|typeof exports === ?[\"']object[\"'] ?&& ?typeof module !==? ?[\"']undefined[\"']")
 
+#: one of these stands in whatever COMPILED_TEXT matches; looking for them first is cheap
+_COMPILED_PARTS = ("__", "void 0", "sourceMappingURL=")
 _BANNER = re.compile(r"\s*(?:(?://[^\r\n]*|/\*[\s\S]*?\*/|['\"]use strict['\"];?)\s*)*")
 _LAST_COMMENT = re.compile(r"(?://[^\r\n]*|/\*(?:(?!\*/)[\s\S])*\*/)\s*$")
-_TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[\w$]+|[^\s\w]")
+_TOKEN = re.compile(r"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[\w$]+|[^\s\w]")
 _LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<![\w$])-?(?:0[xX][\da-fA-F]+|\d[\d_.]*)(?![\w$])")
 _COMMENTS = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|//[^\n]*|/\*[\s\S]*?\*/")
 _PIECE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?P<comment>//[^\r\n]*|/\*[\s\S]*?\*/)")
@@ -85,7 +87,7 @@ def signs(path: str | None, text: str | None, kinds: str) -> tuple[list[str], bo
         found.append("generated_text")
     if VENDORED_TEXT.search(edges):
         found.append("vendored_text")
-    if COMPILED_TEXT.search(text):
+    if any(part in text for part in _COMPILED_PARTS) and COMPILED_TEXT.search(text):
         found.append("compiled")
     if WRAPPER_TEXT.search(text):
         found.append("wrapper")
