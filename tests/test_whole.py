@@ -3,8 +3,6 @@
 import datetime
 import random
 
-from strandline.llm.file_evidence import masked_kinds, signs
-from strandline.llm.handwritten import file_origins
 from strandline.operators import fields, graph
 from strandline.plans import registry
 
@@ -125,48 +123,3 @@ def test_every_set_is_asked_against_all_others(spark, tmp_path):
     wanted = [(u, ",".join(sorted(set(f)))) for u, f in sets.items() if f and not any(set(f) <= set(g) for v, g in sets.items() if v != u)]
     assert {2, 6, 7, 8, 11} <= {u for u, _ in wanted} and not {1, 3, 4, 9, 10, 12} & {u for u, _ in wanted}
     assert ids(registry.QUERIES["key_set_groups"](spark, str(tmp_path))) == sorted(wanted)
-
-
-def test_signs_in_long_comments_and_short_texts():
-    def of(text, path="src/a.ts"):
-        return signs(path, text, masked_kinds(text))
-
-    code = "export function f(x: number) {\n  if (x) return g('//', x);\n  return 1;\n}\n"
-    licence = " * Permission is granted to use, copy and change this text.\n" * 100
-    assert of("/*\n" + licence + " * @generated\n */\n" + code)[0] == ["generated_text"]
-    assert of(code + "/*\n * vendored from elsewhere\n" + licence + " */\n")[0] == ["vendored_text"]
-    assert of(code + "// auto-generated\n" + "// more about it\n" * 200)[0] == ["generated_text"]
-    assert of(code + "const s = '/* @generated';\n" + code + "/* end */\n")[0] == []
-    assert of("// @generated in the middle\n".join([code, code]) + "// end\n")[0] == []
-    assert of("var a=1,b=2;" + "".join(f"{x}=a+b-{y};" for x, y in zip("cdefghijklm", "nopqrstuvwx")))[0] == ["minified"]
-    assert of("export const d = [" + ", ".join(map(str, range(40))) + "];\n") == (["data"], True)
-    assert of("export const logo = '" + "Zm9v" * 40 + "';\n") == (["data"], True)
-    assert of("".join(f"export const K{i} = {i};\n" for i in range(9)))[0] == ["serial"]
-    for plain in ("'use strict';\n", "import './polyfills/for-old-browsers';\n", "export * from './components/settings';\n" * 6, "".join(f"export {{ a{i} }} from './a{i}';\n" for i in range(9)), "export const name = 'b';\n", "", code):
-        assert of(plain) == ([], False)
-
-
-def test_copies_without_signs_come_out(spark):
-    def code(name, n=6):
-        return "".join(f"export function {name}{i}(value: number): number {{\n  const other = value + {i};\n  if (other > 3) throw new Error('{name}');\n  return {name}Table[other];\n}}\n" for i in range(n))
-
-    def changed(text):
-        return text.replace("const other = value + 5;", "const other = value - 5;").replace("export", "/* taken */ export", 1)
-
-    long = code("lib", 30)
-    rows = [
-        (1, "r", "src/a.ts", long),
-        (2, "s", "src/b.ts", changed(long)),
-        (3, "r", "src/c.ts", code("own")),  # masked the same as 4, by other names
-        (4, "s", "src/d.ts", code("their")),
-        (5, "r", "node_modules/x-y/e.ts", "import { z } from 'z';\n" + code("five", 9)),
-        (6, "r", "src/f.ts", "import { z } from 'z';\n" + code("five", 9)),
-        (7, "r", "src/g.ts", "class A {}\n" + code("twice", 12) + "new A();\n"),  # the same project's own
-        (8, "r", "src/h.ts", "class A {}\n" + code("twice", 12) + "new A();\n"),
-        (9, "r", "lib/i.ts", "type T = 1 | 2;\nlet x: T;\n" + code("built", 14).replace("if", "while")),
-        (10, "r", "dist/i.ts", "type T = 1 | 2;\nlet x: T;\n" + code("built", 14).replace("if", "while")),
-    ]
-    frame = spark.createDataFrame([(*r, None) for r in rows], "file_id long, repo string, path string, text string, ingested_at string")
-    got = {r.file_id: (r.handwritten, r.cluster_kind) for r in file_origins(frame).collect()}
-    assert {i for i, (by_hand, _) in got.items() if not by_hand} == {1, 2, 5, 6, 10}
-    assert got[1][1] == got[2][1] == got[6][1] == "copies"
