@@ -1,13 +1,16 @@
 """Functions paired with their documentation: comments matched to functions by bipartite assignment.
 
 Comments that say nothing (directives, notices, separators, bare tags, placeholders, ticket numbers,
-disabled code, the name in other words) are no candidates. The others are linked to the functions they
-can belong to, weighted by the parameters they tag, the words of the name and the distance, and each
-comment and each function gets at most one partner so that the total weight is greatest.
+disabled code, the name in other words) are no candidates. The others are offered to the functions of the file
+that follow them, weighted by the parameters they tag, the words of the name and the code that lies
+between. A link that nothing speaks for, or of which the tags name parameters the function doesn't have, is
+implausible and isn't made. Each comment and each function gets at most one partner so that the total weight is
+greatest.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -20,6 +23,8 @@ from strandline.sources.ecma import syntax_error
 _COMMENT = re.compile(r"//[^\r\n]*(?:\r?\n[ \t]*//[^\r\n]*)*|/\*[\s\S]*?\*/")
 _SPACE = re.compile(r"\s*")
 _MARKS = re.compile(r"^\s*(?:/{2,}!?|/\*+!?|\*+/?|<!--)\s?|\s*(?:\*+/|-->)\s*$")
+#: Functions after a comment that it is offered to, and the least weight of a plausible link.
+FOLLOWING, LEAST_WEIGHT = 3, 1.5
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 
@@ -29,7 +34,7 @@ _DIRECTIVE = re.compile(
     r"|globals?\s+\w|exported\s+\w|#?(?:end)?region\b|[@#]__(?:PURE|NO_SIDE_EFFECTS|INLINE)__|<reference\b|@jsx\w*\s|-\*-|vim?:|@(?:format|flow|noflow|preserve|generated)\b)",
     re.I,
 )
-_NOTICE = re.compile(r"\bcopyright\b|\(c\)\s*\d{4}|©|\bspdx-|\blicen[sc]ed?\b|\ball rights reserved\b|\breleased under\b|\burheberrecht\b|\bderechos reservados\b|\bpermission is hereby\b|\bwithout warrant", re.I)
+_NOTICE = re.compile(r"\bcopyright\b|\(c\)\s*\d{4}|©|\bspdx-|\blicen[sc]ed?\b|\ball rights reserved\b|\breleased under\b|\burheberrecht\b|\bderechos reservados\b|\bpermission is hereby\b|^\W*(?:written|created|authored|coded|maintained|ported|contributed|added) (?:by|on)\b[^.]*\W*$|\bwithout warrant", re.I)
 _PLACEHOLDER = re.compile(
     r"^\W*(?:(?:todo|fixme|xxx|hack|tbd|tba|wip|n/?a)\b.*|(?:(?:insert|add|write|put|enter|your)\s+)?(?:a |the )?(?:short |brief |function |method )?(?:description|documentation|docs?|comment|summary|text)(?:\s+(?:goes\s+)?(?:here|missing|needed|pending|to follow|follows|later))*"
     r"|(?:missing|no)\s+(?:docs?|documentation|description|comment)s?(?:\s+(?:here|yet))?|see (?:above|below|there|code|name|source|docs?)|as (?:above|below|discussed|the name says)|self[- ]explanatory|ditto|same(?: as above)?|lorem ipsum.*|nothing (?:here|to see)(?: yet)?|undocumented|placeholder|siehe oben|ver arriba)\W*$",
@@ -124,13 +129,17 @@ def informative(text: str, name: str | None) -> bool:
     return len(fresh) >= 2
 
 
-def weight(description: str, tagged: list[str], name: str | None, signature: str, gap: int) -> float:
-    """How well a comment fits a function: tagged parameters it has, words of its name, nearness."""
+def weight(description: str, tagged: list[str], name: str | None, signature: str, between: int) -> float | None:
+    """How well a comment fits a function: tagged parameters it has, words of its name, and how much code lies between; None for an implausible link."""
     names = set(re.findall(r"[\w$]+", signature))
     fit = (sum(t in names for t in tagged) - sum(t not in names for t in tagged)) / len(tagged) if tagged else 0.0
     said = {_stem(w.lower()) for w in _WORD.findall(description)}
     own = {_stem(w) for w in words_of(name or "")}
-    return 2.0 + fit + (len(said & own) / len(own) if own else 0.0) + 1.0 / (1.0 + gap / 200.0)
+    shared = len(said & own) / len(own) if own else 0.0
+    if between and fit <= 0 and not shared:
+        return None
+    total = 2.0 / (1.0 + between / 200.0) + fit + shared
+    return total if total >= LEAST_WEIGHT else None
 
 
 def assign(weights: dict[tuple[int, int], float]) -> dict[int, int]:
@@ -168,39 +177,87 @@ def assign(weights: dict[tuple[int, int], float]) -> dict[int, int]:
     return of_right
 
 
+def _signature(code: str) -> str:
+    """A function's text up to its body: what stands before the first brace that isn't in its parameter list."""
+    depth = 0
+    for m in re.finditer(r"[(){]", code):
+        if m.group() == "{" and not depth:
+            return code[: m.start()]
+        depth += (m.group() == "(") - (m.group() == ")")
+    return code
+
+
+def _components(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The pairs of a bipartite graph by connected component."""
+    near: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for pair in pairs:
+        near.setdefault(("f", pair[0]), []).append(pair)
+        near.setdefault(("c", pair[1]), []).append(pair)
+    out, seen = [], set()
+    for start in near:
+        if start in seen:
+            continue
+        seen.add(start)
+        todo, inside = [start], set()
+        while todo:
+            for pair in near[todo.pop()]:
+                inside.add(pair)
+                for node in (("f", pair[0]), ("c", pair[1])):
+                    if node not in seen:
+                        seen.add(node)
+                        todo.append(node)
+        out.append(sorted(inside))
+    return out
+
+
 def match_file(units: list[dict]) -> list[dict]:
-    """One file's functions (unit_id, name, start_pos, text) to those with documentation: unit_id, description, code."""
-    comments: list[tuple[int, int, str, list[str]]] = []
-    functions: list[tuple[int, str]] = []
-    offered: list[list[int]] = []
-    at_place: dict[tuple[int, int], int] = {}
+    """One file's functions (unit_id, name, start_pos, text) to those with documentation: unit_id, name, description, code, weight, adjacent."""
+    functions: list[tuple[int, int, str, str]] = []  # where the code begins and ends, the code and its signature
+    comments: dict[tuple[int, int], tuple[str, list[str]]] = {}
+    own: list[set[tuple[int, int]]] = []
     for unit in units:
         text, start = unit["text"] or "", unit["start_pos"] or 0
         spans, begin = leading_comments(text)
-        functions.append((start + begin, text[begin:]))
-        mine = []
+        functions.append((start + begin, start + len(text), text[begin:], _signature(text[begin:])))
+        places = {(start + a, start + b) for a, b in spans}
         for a, b in spans:
-            place = (start + a, start + b)
-            if place not in at_place:
-                said, tagged = prose(text[a:b])
-                at_place[place] = len(comments)
-                comments.append((*place, said, tagged))
-            mine.append(at_place[place])
-        offered.append(mine)
+            if (start + a, start + b) not in comments:
+                comments[start + a, start + b] = prose(text[a:b])
+        own.append(places)
+    order = sorted(range(len(units)), key=lambda f: functions[f][0])
+    begins = [functions[f][0] for f in order]
     weights: dict[tuple[int, int], float] = {}
-    for f, unit in enumerate(units):
-        begin, code = functions[f]
-        for c in offered[f]:
-            said, tagged = comments[c][2:]
-            if informative(said, unit["name"]):
-                weights[f, c] = weight(said, tagged, unit["name"], code[:2000].split("{", 1)[0], begin - comments[c][1])
+    listed = sorted(comments)
+    for c, place in enumerate(listed):
+        said, tagged = comments[place]
+        first = bisect.bisect_left(begins, place[1])
+        near = order[first : first + FOLLOWING]
+        for f in {*near, *(f for f in near_owners(own, order, begins, place) if f not in near)}:
+            begin, _, _, signature = functions[f]
+            # the code between: all of the functions that lie there
+            between = 0 if place in own[f] else max(1, sum(functions[g][1] - functions[g][0] for g in near if functions[g][0] < begin))
+            if informative(said, units[f]["name"]):
+                w = weight(said, tagged, units[f]["name"], signature, between)
+                if w is not None:
+                    weights[f, c] = w
     out = []
-    for c, f in assign(weights).items():
-        out.append({"unit_id": units[f]["unit_id"], "name": units[f]["name"], "description": comments[c][2], "code": functions[f][1]})
+    for pairs in _components(list(weights)):
+        for c, f in assign({pair: weights[pair] for pair in pairs}).items():
+            out.append({"unit_id": units[f]["unit_id"], "name": units[f]["name"], "description": comments[listed[c]][0], "code": functions[f][2], "weight": weights[f, c], "adjacent": listed[c] in own[f]})
     return out
 
 
-_OUT = pa.schema([("unit_id", pa.int64()), ("name", pa.string()), ("description", pa.string()), ("code", pa.string())])
+def near_owners(own: list[set[tuple[int, int]]], order: list[int], begins: list[int], place: tuple[int, int]) -> list[int]:
+    """The functions in whose own text a comment stands; usually one, several where rows of one place have different ids."""
+    first = bisect.bisect_left(begins, place[1])
+    found = []
+    while first < len(order) and place in own[order[first]]:
+        found.append(order[first])
+        first += 1
+    return found
+
+
+_OUT = pa.schema([("unit_id", pa.int64()), ("name", pa.string()), ("description", pa.string()), ("code", pa.string()), ("weight", pa.float64()), ("adjacent", pa.bool_())])
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +265,10 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     place, units, out = None, [], []
     for batch in batches:
         for row in batch.to_pylist():
-            if (row["repo"], row["file_path"]) != place:
+            here = (row["repo"], row["file_path"], row["alone"])
+            if here != place:
                 out += match_file(units)
-                place, units = (row["repo"], row["file_path"]), []
+                place, units = here, []
                 if len(out) >= 2000:
                     yield pa.RecordBatch.from_pylist(out, schema=_OUT)
                     out = []
@@ -223,11 +281,15 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def documented_functions(units: DataFrame, order: str = "scanned_at") -> DataFrame:
-    """(unit_id, name, description, code) of the functions of units(unit_id, repo, file_path, kind, name, start_pos, text) that have one.
+    """(unit_id, name, description, code, weight, adjacent) of the functions of units(unit_id, repo, file_path, kind, name, start_pos, text) that have one.
 
-    Rows of one unit_id count once, the one with the greatest `order`. Null or empty texts have no comment;
-    a null name makes no word known. Functions without an informative comment above their code are left out.
+    adjacent says whether the description stands directly above the function's code or, as its tags and words
+    show, was parted from it by other functions. Rows of one unit_id count once, the one with the greatest `order`.
+    Null or empty texts have no comment; a null name makes no word known; a row without a file stands alone.
+    Functions without an informative comment are left out. One file's functions are in memory together.
     """
-    rows = units.where((F.col("kind") == "function") & F.col("unit_id").isNotNull() & F.col("text").rlike(r"^\s*/[/*]")).select(F.col("unit_id").cast("long").alias("unit_id"), "repo", "file_path", "name", F.col("start_pos").cast("int").alias("start_pos"), "text", F.col(order).alias("seen"))
-    placed = rows.repartition("repo", "file_path").sortWithinPartitions("repo", "file_path", "unit_id", "seen").drop("seen")
-    return placed.mapInArrow(_run, "unit_id long, name string, description string, code string")
+    rows = units.where((F.col("kind") == "function") & F.col("unit_id").isNotNull()).select(F.col("unit_id").cast("long").alias("unit_id"), "repo", "file_path", "name", F.col("start_pos").cast("int").alias("start_pos"), "text", F.col(order).alias("seen"))
+    rows = rows.withColumn("alone", F.when(F.col("repo").isNull() | F.col("file_path").isNull(), F.col("unit_id")))
+    file = ["repo", "file_path", "alone"]
+    placed = rows.repartition(*file).sortWithinPartitions(*file, "unit_id", "seen").drop("seen")
+    return placed.mapInArrow(_run, "unit_id long, name string, description string, code string, weight double, adjacent boolean")

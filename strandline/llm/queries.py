@@ -55,11 +55,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_functions(table(spark, sf_dir, "units")).select("unit_id")
+    return documented_functions(table(spark, sf_dir, "units")).where("adjacent").select("unit_id")
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documented_functions(table(spark, sf_dir, "units"))
+    return documented_functions(table(spark, sf_dir, "units")).drop("weight", "adjacent")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
