@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 
-from strandline.sources.ecma_lex import END, GENERIC_PLAIN, IDENT, NAME, WORD, LexError, careful_kinds, fast_tokens, kinds_of
+from strandline.sources.ecma_lex import END, GENERIC, GENERIC_PLAIN, IDENT, NAME, WORD, LexError, careful_kinds, fast_tokens, kinds_of
 
 (BREAK, CASE, CATCH, CLASS, CONST, CONTINUE, DEBUGGER, DEFAULT, DELETE, DO, ELSE, ENUM, EXPORT, EXTENDS, FINALLY, FOR, FUNCTION, IF, IMPORT, IN, INSTANCEOF, NEW, RETURN, SWITCH, THROW, TRY, TYPEOF, VAR, VOID, WHILE, WITH) = (
     WORD[w] for w in "break case catch class const continue debugger default delete do else enum export extends finally for function if import in instanceof new return switch throw try typeof var void while with".split()
@@ -1474,6 +1474,7 @@ class Source:
         # a slash after an operand may divide or begin a regular expression: only the careful lexer knows
         self.certain = self.kinds is not None and "/" not in self.tokens and "/=" not in self.tokens and not ("r" in self.kinds and any(x[0] == "}" and len(x) > 1 for x in self.tokens))
         self.maybe_jsx = bool(_MAYBE_JSX.search(self.text))
+        self.generic = self.maybe_jsx and bool(GENERIC.search(self.text))
         self._prepared: dict[str, _Tokens | str] = {}
         self._careful: dict[tuple[bool, bool, bool], str | LexError] = {}
         self._known: dict[tuple[str, bool, bool], str | None] = {}
@@ -1501,7 +1502,8 @@ class Source:
         return error
 
     def _kinds(self, jsx: bool, typed: bool, plain_generic: bool) -> str | LexError:
-        key = (jsx, jsx and typed, plain_generic)
+        # types matter to the careful lexer only where a < may begin type parameters or a tag's type arguments
+        key = (jsx, jsx and typed and self.generic, plain_generic)
         if key not in self._careful:
             try:
                 self._careful[key] = careful_kinds(self.text, jsx, typed, plain_generic)
@@ -1519,7 +1521,7 @@ class Source:
             if error is None or self.certain:
                 return error
         error = None
-        for plain_generic in (False, True) if typed and jsx and GENERIC_PLAIN.search(self.text) else (False,):
+        for plain_generic in (False, True) if typed and jsx and self.generic and GENERIC_PLAIN.search(self.text) else (False,):
             kinds = self._kinds(jsx, typed, plain_generic)
             error = str(kinds) if isinstance(kinds, LexError) else self._attempt(kinds, typed, jsx)
             if error is None:

@@ -135,6 +135,8 @@ _JSX_SPACE = re.compile(rf"(?:\s|{_COMMENT})*")
 _JSX_TEXT = re.compile(r"[^<>{}]*")
 _GENERIC_ARROW = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
 GENERIC_PLAIN = re.compile(r"<\s*[A-Za-z_$][\w$]*\s*>\s*\(")
+#: what a < may begin that only types have: parameters of an arrow function, or the arguments of a tag or call
+GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b|>\s*\()|<[\w$.:-]+\s*<")
 #: kinds after which an operand has just ended
 _OPERAND = frozenset("inrstlS)]}jh") | frozenset(WORD[w] for w in CONTEXTUAL)
 _HEADS = frozenset(WORD[w] for w in ("if", "while", "for", "with"))
