@@ -48,9 +48,12 @@ _HINTS: dict[str, dict[str, float]] = {
 }
 
 
+_TELLING = frozenset(token for hints in _HINTS.values() for token in hints)
+
+
 def rank_grammars(text: str, tokens: list[str] | None = None) -> list[str]:
     """The grammars of CHECKS by how many of the text's tokens speak for each, with their weights; ties keep the order of CHECKS."""
-    seen = Counter(Source(text).tokens if tokens is None else tokens)
+    seen = Counter(filter(_TELLING.__contains__, Source(text).tokens if tokens is None else tokens))
     score = {name: sum(weight * seen[token] for token, weight in _HINTS[name].items() if token in seen) for name in CHECKS}
     return sorted(CHECKS, key=lambda name: -score[name])
 
