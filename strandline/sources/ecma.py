@@ -1470,9 +1470,7 @@ class Source:
         text = text or ""
         self.text = text[1:] if text[:1] == "\ufeff" else text
         self.tokens = fast_tokens(self.text)
-        self.kinds = kinds_of(self.tokens)
-        # a slash after an operand may divide or begin a regular expression: only the careful lexer knows
-        self.certain = self.kinds is not None and "/" not in self.tokens and "/=" not in self.tokens and not ("r" in self.kinds and any(x[0] == "}" and len(x) > 1 for x in self.tokens))
+        self.kinds, self.certain = kinds_of(self.tokens)
         self.maybe_jsx = bool(_MAYBE_JSX.search(self.text))
         self.generic = self.maybe_jsx and bool(GENERIC.search(self.text))
         self._prepared: dict[str, _Tokens | str] = {}

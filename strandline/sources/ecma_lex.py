@@ -58,7 +58,7 @@ class _Kinds(dict):
         kind = self._kind(token)
         if len(self) > self.LIMIT:
             self.clear()
-            self.update(_KINDS)
+            self.update(_BASE)
         self[token] = kind
         return kind
 
@@ -79,7 +79,7 @@ class _Kinds(dict):
             return ("t" + "".join(f"\x02{s}\x03" for s in _SUBSTITUTION.findall(token)) if "${" in token else "t") if len(token) > 1 else ERROR
         if len(token) > 2 and token[-1] != first and first in "=(,:[!&|?{};~" and "/" in token:
             rest = token[1:]
-            return _KINDS[first] + ("\n" if "\n" in rest[: len(rest) - len(rest.lstrip())] else "") + "r"
+            return _KINDS[first] + ("\x08" if first == "}" else "") + ("\n" if "\n" in rest[: len(rest) - len(rest.lstrip())] else "") + "r"
         if first == "#":
             return "h" if len(token) > 1 and not token[1].isdigit() else ERROR
         if first.isdigit() or (first == "." and len(token) > 1):
@@ -89,7 +89,10 @@ class _Kinds(dict):
         return ERROR
 
 
-_table = _Kinds(_KINDS)
+#: marks in the kinds of fast_tokens where a slash may divide as well as begin a regular expression: for / and /=, and before an expression after }
+UNSURE = "\x06\x07\x08"
+_BASE = _KINDS | {"/": "\x06", "/=": "\x07"}
+_table = _Kinds(_BASE)
 
 
 class LexError(ValueError):
@@ -101,19 +104,21 @@ def fast_tokens(text: str) -> list[str]:
     return _FAST.findall("//" + text if text.startswith("#!") else text)
 
 
-def kinds_of(tokens: list[str]) -> str | None:
-    """The kinds of these tokens, or None where only the careful lexer can tell. Templates with substitutions also go there."""
+def kinds_of(tokens: list[str]) -> tuple[str | None, bool]:
+    """The kinds of these tokens and whether they are certain; None where only the careful lexer can tell, as for templates with code in them."""
     kinds = "".join(map(_table.__getitem__, tokens))
     if "\x02" in kinds:
         kinds = _checked_templates(kinds)
-        if kinds is None:
-            return None
-    return None if ERROR in kinds else kinds
+    if kinds is None or ERROR in kinds:
+        return None, False
+    if any(mark in kinds for mark in UNSURE):
+        return kinds.replace("\x06", "o").replace("\x07", "A").replace("\x08", ""), False
+    return kinds, True
 
 
 def fast_kinds(text: str) -> str | None:
     """kinds_of the text's tokens."""
-    return kinds_of(fast_tokens(text))
+    return kinds_of(fast_tokens(text))[0]
 
 
 _template_ok: dict[str, bool] = {}
@@ -127,7 +132,7 @@ def _checked_templates(kinds: str) -> str | None:
     return re.sub("\x02.*?\x03", "", kinds, flags=re.S)
 
 
-_CAREFUL = re.compile(rf"(?P<nl>[\r\n\u2028\u2029])|(?P<ws>\s+|\ufeff)|(?P<com>{_COMMENT})|(?P<open>/\*)|(?P<str>{_STRING})|(?P<num>{_NUMBER})|(?P<word>#?{_WORD})|(?P<op>{_OPERATOR}|[(){{}}\[\];,:.=?!~<>*&|@%^/+-])")
+_CAREFUL = re.compile(rf"(?:(?P<nl>[\r\n\u2028\u2029])|(?P<ws>\s+|\ufeff)|(?P<com>{_COMMENT})|(?P<open>/\*)|(?P<str>{_STRING})|(?P<num>{_NUMBER})|(?P<word>#?{_WORD})|(?P<op>{_OPERATOR}|[(){{}}\[\];,:.=?!~<>*&|@%^/+-]))[ \t]*")
 _REGEX_RE = re.compile(_REGEX)
 _TEMPLATE_CHARS = re.compile(rf"(?:[^`\\$]|{_ESCAPE}|\$(?!\{{))*")
 _JSX_NAME = re.compile(r"[A-Za-z_$][\w$-]*(?:(?:\.|:)[A-Za-z_$][\w$-]*)*")
@@ -255,10 +260,12 @@ def careful_kinds(text: str, jsx: bool, typed: bool, plain_generic: bool = False
         last = out[-1] if out else ""
         if last == "\n":
             last = next((k for k in reversed(out) if k != "\n"), "")
-        operand = last != "" and last[-1] in _OPERAND and last not in _OPERAND_WORDS or last == "\x05"
-        if operand and last == ")" and head_closed or operand and last == "}" and block_closed:
-            operand = False
-        if c == "`":
+        operand = False
+        if c == "<" or c == "/":
+            operand = last != "" and last[-1] in _OPERAND and last not in _OPERAND_WORDS or last == "\x05"
+            if operand and (last == ")" and head_closed or last == "}" and block_closed):
+                operand = False
+        elif c == "`":
             out.append("\x04")
             at = template(at + 1)
             continue
@@ -277,7 +284,8 @@ def careful_kinds(text: str, jsx: bool, typed: bool, plain_generic: bool = False
         m = _CAREFUL.match(text, at)
         if not m:
             raise LexError(f"unexpected character {c!r}")
-        at, token, what = m.end(), m.group(), m.lastgroup
+        at, what = m.end(), m.lastgroup
+        token = m[what]
         if what == "ws":
             continue
         if what == "nl" or what == "com":
