@@ -156,7 +156,8 @@ class Model:
 SCALE = 8.0
 
 
-_CHANGE = "shard int, block int, n long, sums binary, counts binary"
+_CHANGE = "shard int, block int, n long, sums binary, rows binary"
+_MERGED = "block int, n long, sums binary, counts binary"
 
 
 def _shard_steps(shared, weights, r: int, rate: float):
@@ -181,10 +182,10 @@ def _shard_steps(shared, weights, r: int, rate: float):
         shard, n = int(pdf["shard"].iloc[0]), len(docs)
         ends = np.concatenate([(mine.out - before[1]).ravel(), mine.bias - before[2]]).astype(np.float32) * np.float32(n)
         out = [(shard, -1, n, ends.tobytes(), b"")]
-        for b in np.unique(np.flatnonzero(touched) // BLOCK):
-            part = slice(b * BLOCK, (b + 1) * BLOCK)
-            out.append((shard, int(b), n, (mine.embed[part] - before[0][part]).tobytes(), touched[part].tobytes()))
-        return pd.DataFrame(out, columns=["shard", "block", "n", "sums", "counts"])
+        rows = np.flatnonzero(touched).astype(np.int32)
+        for b, own in ((b, rows[rows // BLOCK == b]) for b in np.unique(rows // BLOCK)):
+            out.append((shard, int(b), n, (mine.embed[own] - before[0][own]).tobytes(), own.tobytes()))
+        return pd.DataFrame(out, columns=["shard", "block", "n", "sums", "rows"])
 
     return run
 
@@ -192,9 +193,16 @@ def _shard_steps(shared, weights, r: int, rate: float):
 def _merge_changes(pdf: pd.DataFrame) -> pd.DataFrame:
     """The changes of all shards to one block, added in the order of the shards."""
     pdf = pdf.sort_values("shard")
-    sums = sum(np.frombuffer(x, dtype=np.float32) for x in pdf["sums"])
-    counts = sum(np.frombuffer(x, dtype=np.float32) for x in pdf["counts"])
-    return pd.DataFrame([(0, int(pdf["block"].iloc[0]), int(pdf["n"].sum()), sums.tobytes(), counts.tobytes())], columns=["shard", "block", "n", "sums", "counts"])
+    block = int(pdf["block"].iloc[0])
+    if block < 0:
+        sums, counts = sum(np.frombuffer(x, dtype=np.float32) for x in pdf["sums"]), np.empty(0, dtype=np.float32)
+    else:
+        sums, counts = np.zeros((BLOCK, DIM), dtype=np.float32), np.zeros(BLOCK, dtype=np.float32)
+        for change, rows in zip(pdf["sums"], pdf["rows"]):
+            own = np.frombuffer(rows, dtype=np.int32) - block * BLOCK
+            sums[own] += np.frombuffer(change, dtype=np.float32).reshape(-1, DIM)
+            counts[own] += 1
+    return pd.DataFrame([(block, int(pdf["n"].sum()), sums.tobytes(), counts.tobytes())], columns=["block", "n", "sums", "counts"])
 
 
 def train(read: DataFrame, classes: int, weights: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -206,7 +214,7 @@ def train(read: DataFrame, classes: int, weights: np.ndarray, rounds: int = ROUN
         shared = spark.sparkContext.broadcast((model.embed, model.out, model.bias))
         rate = RATE * (1 - 0.7 * r / rounds)
         changes = read.groupBy("shard").applyInPandas(_shard_steps(shared, weights_b, r, rate), _CHANGE)
-        merged = changes.groupBy("block").applyInPandas(_merge_changes, _CHANGE).toPandas()
+        merged = changes.groupBy("block").applyInPandas(_merge_changes, _MERGED).toPandas()
         for c in merged.itertuples():
             sums = np.frombuffer(c.sums, dtype=np.float32)
             if c.block < 0:
