@@ -160,32 +160,53 @@ _CHANGE = "shard int, block int, n long, sums binary, rows binary"
 _MERGED = "block int, n long, sums binary, counts binary"
 
 
-def _shard_steps(shared, weights, r: int, rate: float):
-    """One shard's documents to the changes its steps make to the shared model, by blocks of the embedding table; block -1 is the outputs and biases."""
+_PACKED = "shard int, n int, ends binary, rows binary, weights binary, targets binary"
+
+
+def _pack(weights, classes: int):
+    """One shard's documents (id, classes, rows, times), in the order of their ids, as one row of arrays."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id", kind="stable")
+        kept = [_weighed(rows, times, weights.value) for rows, times in zip(pdf["rows"], pdf["times"])]
+        targets = np.zeros((len(pdf), classes), dtype=np.uint8)
+        for n, own in enumerate(pdf["classes"]):
+            targets[n, np.asarray(own, dtype=int)] = 1
+        ends = np.cumsum([len(r) for r, _ in kept], dtype=np.int64)
+        rows = np.concatenate([r for r, _ in kept]).astype(np.int32)
+        shares = np.concatenate([w for _, w in kept]).astype(np.float32)
+        return pd.DataFrame([(int(pdf["shard"].iloc[0]), len(pdf), ends.tobytes(), rows.tobytes(), shares.tobytes(), targets.tobytes())], columns=["shard", "n", "ends", "rows", "weights", "targets"])
+
+    return run
+
+
+def _shard_steps(shared, r: int, rate: float):
+    """Packed shards to the changes the steps of each make to the shared model, by blocks of the embedding table; block -1 is the outputs and biases."""
+
+    def one(shard: int, n: int, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple]:
         mine = Model.__new__(Model)
         mine.embed, mine.out, mine.bias = (x.copy() for x in shared.value)
-        pdf = pdf.sort_values("id", kind="stable")
-        docs = []
-        for rows, times, own in zip(pdf["rows"], pdf["times"], pdf["classes"]):
-            y = np.zeros(len(mine.bias), dtype=np.float32)
-            y[np.asarray(own, dtype=int)] = 1
-            docs.append((*_weighed(rows, times, weights.value), y))
         rng = np.random.default_rng([SEED, r])
         for _ in range(STEPS):
-            mine.steps(docs, rng.permutation(len(docs)), rate)
+            mine.steps(docs, rng.permutation(n), rate)
         before = shared.value
         touched = np.zeros(BUCKETS, dtype=np.float32)
         for rows, _, _ in docs:
             touched[rows] = 1
-        shard, n = int(pdf["shard"].iloc[0]), len(docs)
         ends = np.concatenate([(mine.out - before[1]).ravel(), mine.bias - before[2]]).astype(np.float32) * np.float32(n)
         out = [(shard, -1, n, ends.tobytes(), b"")]
         rows = np.flatnonzero(touched).astype(np.int32)
         for b, own in ((b, rows[rows // BLOCK == b]) for b in np.unique(rows // BLOCK)):
             out.append((shard, int(b), n, (mine.embed[own] - before[0][own]).tobytes(), own.tobytes()))
-        return pd.DataFrame(out, columns=["shard", "block", "n", "sums", "rows"])
+        return out
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for p in pdf.itertuples():
+                cuts = np.frombuffer(p.ends, dtype=np.int64)[:-1]
+                rows, w = np.split(np.frombuffer(p.rows, dtype=np.int32), cuts), np.split(np.frombuffer(p.weights, dtype=np.float32), cuts)
+                targets = np.frombuffer(p.targets, dtype=np.uint8).reshape(p.n, -1).astype(np.float32)
+                yield pd.DataFrame(one(p.shard, p.n, list(zip(rows, w, targets))), columns=["shard", "block", "n", "sums", "rows"])
 
     return run
 
@@ -209,11 +230,12 @@ def train(read: DataFrame, classes: int, weights: np.ndarray, rounds: int = ROUN
     """A model fitted to read(id, classes, shard, rows, times) by rounds of steps on each shard and averaging of their changes."""
     spark = read.sparkSession
     model = Model(classes)
-    weights_b = spark.sparkContext.broadcast(weights)
+    # each round reads the shards where they lie, so nothing but changes is shuffled
+    packed = cut(read.groupBy("shard").applyInPandas(_pack(spark.sparkContext.broadcast(weights), classes), _PACKED))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((model.embed, model.out, model.bias))
         rate = RATE * (1 - 0.7 * r / rounds)
-        changes = read.groupBy("shard").applyInPandas(_shard_steps(shared, weights_b, r, rate), _CHANGE)
+        changes = packed.mapInPandas(_shard_steps(shared, r, rate), _CHANGE)
         merged = changes.groupBy("block").applyInPandas(_merge_changes, _MERGED).toPandas()
         for c in merged.itertuples():
             sums = np.frombuffer(c.sums, dtype=np.float32)
