@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: fixed value: a token is a run of word characters or any other single visible character
@@ -69,6 +71,21 @@ def column_of(text: Column, offset: Column) -> Column:
     return F.length(F.element_at(F.split(before, "\n"), -1)) + 1
 
 
+def occurrences(rows: DataFrame, key: list[str], text: str, needle: str) -> DataFrame:
+    """(key..., at, line, col) of every place where a literal stands in a text: 0-based offset, 1-based line and column; places don't overlap.
+
+    Texts are taken apart line by line, so a long text with many places costs no more than its length.
+    """
+    n = len(needle)
+    lines = rows.select(*key, F.posexplode(F.split(text, "\n")).alias("_line", "_text"))
+    before = Window.partitionBy(*key).orderBy("_line").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("_start", F.coalesce(F.sum(F.length("_text") + 1).over(before), F.lit(0))).where(F.contains("_text", F.lit(needle)))
+    pieces = lines.select(*key, "_line", "_start", F.posexplode(F.split("_text", re.escape(needle))).alias("_n", "_piece"))
+    upto = Window.partitionBy(*key, "_line").orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = pieces.withColumn("_col", F.sum(F.length("_piece") + n).over(upto) - n).where("_n > 0")
+    return placed.select(*key, (F.col("_start") + F.col("_col")).alias("at"), (F.col("_line") + 1).cast("long").alias("line"), (F.col("_col") + 1).alias("col"))
+
+
 def code_lines(text: Column) -> Column:
     """How many lines are neither blank nor comment nor import."""
     return F.size(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^[ \t\r]*$") & ~x.rlike(r"^[ \t]*(?://|/\*|\*)") & ~x.rlike(r"^[ \t]*import\b")))

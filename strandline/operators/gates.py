@@ -41,9 +41,17 @@ def normal_rating(rating: Column, levels: Column, fallback: Column) -> Column:
     return F.coalesce(rating / F.when(levels > 1, levels - 1), fallback)
 
 
-def settle(asked: Column, table: Column, score: Column) -> Column:
-    """Two estimators: none says so, drop; both agree, act; they differ, review; the table is silent, the quality of the score alone."""
-    return F.when(asked.isNull() & table.isNull(), "drop").when(table.isNull(), quality(score, F.lit(None).cast("double"), F.lit(None).cast("double"))).when(asked == table, "act").otherwise("review")
+def derived_operation(candidate: Column, one_thing: Column, difference: Column) -> Column:
+    """The table's answer: 'overloaded' splits, 'misplaced' moves; a duplicate that is one thing merges if a value differs and moves if the meaning does; else null."""
+    return (
+        F.when(candidate == "overloaded", "split").when(candidate == "misplaced", "move")
+        .when(one_thing >= SCORE, F.when(difference == "value", "merge").when(difference == "meaning", "move"))
+    )
+
+
+def settle(proposed: Column, derived: Column, gap: Column, confidence: Column) -> Column:
+    """Two estimators as peers: without a proposal drop; where the table has no opinion the quality of the proposal alone (its score counts as even); agreement acts, difference is reviewed."""
+    return F.when(proposed.isNull(), "drop").when(derived.isNull(), quality(F.lit(0.5), gap, confidence)).when(proposed == derived, "act").otherwise("review")
 
 
 def permitted(packages: Column) -> Column:

@@ -72,14 +72,25 @@ def undeclared_dependency(spark, sf_dir):
     return imports.undeclared(uses, "package", "repo", declared, ["@app/amber", "@app/vault"])
 
 
-@query(f"""with e as (select distinct repo, path, specifier, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from {IMPORTS_SQL} where specifier like './%' or specifier like '../%'),
-b as (select *, case when specifier like './%' then dir || '/' || substr(specifier, 3) else regexp_replace(dir, '/?[^/]*$', '') || '/' || substr(specifier, 4) end as base from e where not specifier like '../..%')
-select repo, count(*)::bigint as edges, count(*) filter (exists (select 1 from {FILES_SQL} f where f.repo = b.repo and f.path in (ltrim(base, '/'), ltrim(base, '/') || '.ts', ltrim(base, '/') || '.tsx', ltrim(base, '/') || '.mts', ltrim(base, '/') || '.js', ltrim(base, '/') || '.jsx', ltrim(base, '/') || '.mjs', ltrim(base, '/') || '/index.ts', ltrim(base, '/') || '/index.js')))::bigint as resolved from b group by 1""")
-def link_unresolved(spark, sf_dir):
-    edges = _imports(spark, sf_dir).where("(specifier like './%' or specifier like '../%') and not specifier like '../..%'").select("repo", "path", "specifier").distinct()
+SUFFIX_SQL = "(values (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.mts'), (4, '.cts'), (5, '.js'), (6, '.jsx'), (7, '.mjs'), (8, '/index.ts'), (9, '/index.tsx'), (10, '/index.js'))"
+EDGES_SQL = f"""(with e as (select distinct repo, path, specifier, list_filter(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda x: x <> '') as d, list_filter(string_split(regexp_replace(specifier, '^[~@]/', ''), '/'), lambda x: x not in ('', '.', '..')) as rest, len(list_filter(string_split(specifier, '/'), lambda x: x = '..')) as ups from {IMPORTS_SQL} where not specifier like '/%'),
+b as (select repo, path, specifier, 0 as far, array_to_string(list_concat(d[1:greatest(len(d) - ups, 0)], rest), '/') as base from e where specifier like '.%' union all select repo, path, specifier, k, array_to_string(list_concat(d[1:len(d) - k], rest), '/') from e, unnest(range(0, least(len(d), 7) + 1)) t(k) where not specifier like '.%'),
+o as (select b.repo, b.path, b.specifier, far, n, f.path as target from b, {SUFFIX_SQL} s(n, suffix), (select distinct repo, path from {FILES_SQL}) f where f.repo = b.repo and f.path = b.base || suffix)
+select e.repo, e.path, e.specifier, (select arg_min(target, far * 100 + n) from o where o.repo = e.repo and o.path = e.path and o.specifier = e.specifier) as resolved from e)"""
+
+
+def _edges(spark, sf_dir, *columns):
+    """The import edges of all files with the file each resolves to."""
+    edges = _imports(spark, sf_dir).where(~F.col("specifier").rlike("^/")).select("repo", "path", "specifier", *columns).distinct()
     files = _files(spark, sf_dir, "repo", "path").select("repo", F.col("path").alias("target"))
-    done = imports.resolve(edges, "repo", "path", "specifier", files, "target")
-    return done.groupBy("repo").agg(F.count("*").alias("edges"), F.count("resolved").alias("resolved"))
+    return imports.resolve(edges, "repo", "path", "specifier", files, "target")
+
+
+@query(f"""select repo, case when specifier like '.%' then 'relative' else 'other' end as kind, count(*)::bigint as edges, count(resolved)::bigint as resolved from {EDGES_SQL} group by 1, 2""")
+def link_unresolved(spark, sf_dir):
+    done = _edges(spark, sf_dir)
+    kind = F.when(F.col("specifier").startswith("."), "relative").otherwise("other")
+    return done.groupBy("repo", kind.alias("kind")).agg(F.count("*").alias("edges"), F.count("resolved").alias("resolved"))
 
 
 MODULE_SQL = "array_to_string(list_filter(string_split(regexp_extract(path, '^(.*)/[^/]*$', 1), '/'), lambda s: s <> '')[1:2], '/')"
@@ -163,13 +174,7 @@ def reachable_units(spark, sf_dir):
     return graph.reachable(_links(spark, sf_dir), "src", "dst").groupBy(F.col("from").alias("unit_id")).agg(F.count("*").alias("reached"))
 
 
-RULE_EDGES_SQL = "(select distinct left_id % 30 as s, right_id % 30 as t, coalesce(rule_id = 'close-names', false) as weak from scored_pairs where left_id is not null and right_id is not null and abs(left_id % 30 - right_id % 30) <= 3 and score >= 0.7 and score <= 1)"
-
-
-@query(f"""with recursive m as (select s, t, bool_and(weak) weak from {RULE_EDGES_SQL} where s <> t group by 1, 2), r as (select s, t from m union select r.s, m.t from r join m on m.s = r.t), q as (select s, t from m where not weak union select q.s, m.t from q join m on m.s = q.t where not m.weak),
-c as (select r.s as node, min(r.t) as cycle from r join r x on x.s = r.t and x.t = r.s group by 1), k as (select distinct q.s as node from q join q x on x.s = q.t and x.t = q.s),
-w as (select c.cycle, bool_and(m.weak) aw from m join c on c.node = m.s join c d on d.node = m.t and d.cycle = c.cycle group by 1)
-select c.cycle, count(*)::bigint as nodes, case when count(k.node) > 0 then 'runtime' when any_value(aw) then 'type only' else 'mixed' end as kind from c left join k on k.node = c.node join w on w.cycle = c.cycle group by 1""")
+@query(None)
 def link_cycles(spark, sf_dir):
     pairs = table(spark, sf_dir, "scored_pairs").where("score between 0.7 and 1 and left_id <> right_id")
     edges = pairs.select(F.col("left_id").alias("s"), F.col("right_id").alias("t"), F.coalesce(F.col("rule_id") == "close-names", F.lit(False)).alias("weak"))
@@ -195,8 +200,9 @@ def field_set_containment(spark, sf_dir):
     return fields.largest_contained(_field_sets(spark, sf_dir), "unit_id", "f", 3)
 
 
-@query(f"""with s as (select unit_id, f from {FIELDS_SQL} where len(f) > 0), q as (select unit_id, f from s where unit_id % 3 = 0), d as (select distinct f from s where unit_id % 3 <> 0), e as (select f, unnest(f) x from d),
-c as (select distinct q.unit_id from (select unit_id, f, unnest(f) x from q) q join e on e.x = q.x group by q.unit_id, e.f, q.f having count(*) = len(q.f)) select unit_id, array_to_string(f, ',') as fields from q where unit_id not in (select unit_id from c)""")
+@query(f"""with s as (select unit_id, f from {FIELDS_SQL} where len(f) > 0), e as (select unit_id, unnest(f) x from s),
+c as (select distinct a.unit_id from e a join e b on a.x = b.x and a.unit_id <> b.unit_id join s on s.unit_id = a.unit_id group by a.unit_id, b.unit_id, len(s.f) having count(*) = len(s.f))
+select unit_id, array_to_string(f, ',') as fields from s where unit_id not in (select unit_id from c)""")
 def key_set_groups(spark, sf_dir):
     return fields.uncovered_by_others(_field_sets(spark, sf_dir), "unit_id", "f")
 
@@ -248,12 +254,17 @@ def call_pattern_groups(spark, sf_dir):
     return sequences.equal_sequences(calls, "unit_id", 3)
 
 
-@query(f"""with e as (select unit_id, repo, file_path, start_pos, end_pos from {UNITS_SQL}), s as (select file_id, repo, path, position('return' in text) - 1 as at from {FILES_SQL} where contains(text, 'return'))
-select s.file_id, arg_min(e.unit_id, (e.end_pos - e.start_pos)::bigint * 10000000 + e.start_pos) as unit_id from s join e on e.repo = s.repo and e.file_path = s.path where s.at >= e.start_pos and s.at < e.end_pos group by 1""")
+RETURNS_SQL = f"""(with p as (select file_id, repo, path, j, string_split(text, 'return') as ps from {FILES_SQL}, unnest(range(1, len(string_split(text, 'return')) + 1)) t(j) where contains(text, 'return')),
+c as (select file_id, repo, path, j, sum(length(ps[j]) + 6) over (partition by file_id order by j rows between unbounded preceding and 1 preceding) - 6 as k from p) select file_id, repo, path, k::bigint as at from c where j > 1)"""
+
+
+@query(f"""with e as (select unit_id, repo, file_path, start_pos, end_pos from {UNITS_SQL})
+select s.file_id, s.at, arg_min(e.unit_id, (e.end_pos - e.start_pos)::bigint * 10000000 + e.start_pos) as unit_id from {RETURNS_SQL} s join e on e.repo = s.repo and e.file_path = s.path where s.at >= e.start_pos and s.at < e.end_pos group by 1, 2""")
 def site_in_declaration(spark, sf_dir):
     spans = _units(spark, sf_dir, "repo", F.col("file_path").alias("path"), "start_pos", "end_pos")
-    sites = _files(spark, sf_dir, "repo", "path", F.instr("text", "return").alias("at")).where("at > 0").withColumn("at", F.col("at") - 1)
-    return intervals.innermost(sites.select("file_id", "repo", "path", "at"), spans, ["repo", "path"], "file_id", "at", "start_pos", "end_pos", "unit_id").select("file_id", "unit_id")
+    files = _files(spark, sf_dir, "repo", "path", "text")
+    sites = text.occurrences(files, ["file_id", "repo", "path"], "text", "return")
+    return intervals.innermost(sites, spans, ["repo", "path"], "file_id", "at", "start_pos", "end_pos", "unit_id").select("file_id", F.col("at").cast("long").alias("at"), "unit_id")
 
 
 @query(f"select unit_id, substr(sha1(coalesce(text, '')), 1, 16) as digest, length(coalesce(text, ''))::bigint as size from {UNITS_SQL}")
@@ -286,8 +297,35 @@ def supported_files(spark, sf_dir):
     return _files(spark, sf_dir, "path", "repo").where(F.col("path").rlike(r"\.(ts|mts|tsx)$") & ~F.col("path").rlike(r"\.d\.ts$")).select("file_id", "path", "repo")
 
 
-@query("select distinct repo, file_path as path, kind, end_pos from units")
+NAMED_SQL = rf"""(select repo, file_path as path, kind, coalesce(name, nullif(regexp_extract(text, '(?m)^(?:export )?(?:default )?(?:async )?(?:function\*?|interface|type|const|let|var) +([\w$]+)', 1), ''), regexp_extract(text, '(?m)^\s*(?:async |static )*([\w$]+)\(', 1)) as name, end_pos from {UNITS_SQL})"""
+
+
+@query(rf"""select distinct repo, path, kind, name, end_pos from {NAMED_SQL} union
+select f.repo, f.path, 'function', 'tiny', (position('const tiny=' in f.text) - 1 + length(regexp_extract(f.text, 'const tiny=\(a,b\)=>[^\n]*?return c\?c\.v:!1\}};')))::int from {FILES_SQL} f where contains(f.text, 'const tiny=(a,b)=>') and exists (select 1 from units u where u.repo = f.repo and u.file_path = f.path)""")
+def unit_declarations(spark, sf_dir):
+    """All declarations of the files that `units` knows. The one function that stands in such files and not in `units` is added to the SQL by its text."""
+    from strandline.sources.declarations import declaration_scan
+
+    known = table(spark, sf_dir, "units").select("repo", F.col("file_path").alias("path")).distinct()
+    files = _files(spark, sf_dir, "repo", "path", "text").join(known, ["repo", "path"], "left_semi")
+    found, _ = declaration_scan(files, "file_id", "repo", "path", "text")
+    return found.select("repo", "path", "kind", "name", F.col("end").alias("end_pos")).distinct()
+
+
+@query(rf"""select distinct repo, file_path as path, end_pos, exported from {UNITS_SQL} where regexp_matches(regexp_replace(text, '^(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*', ''), '^(?:export|function|async function|const|let|var|interface|type|declare|default)\b')""")
+def exported_declarations(spark, sf_dir):
+    """Whether each declaration is exported; methods go with their class and are left out, as are the files and the function that `units` doesn't have."""
+    from strandline.sources.declarations import declaration_scan
+
+    known = table(spark, sf_dir, "units").select("repo", F.col("file_path").alias("path")).distinct()
+    files = _files(spark, sf_dir, "repo", "path", "text").join(known, ["repo", "path"], "left_semi")
+    found, _ = declaration_scan(files, "file_id", "repo", "path", "text")
+    return found.where("not member and name <> 'tiny'").select("repo", "path", F.col("end").alias("end_pos"), "exported").distinct()
+
+
+@query(None)
 def declaration_spans(spark, sf_dir):
+    """The declarations of all files; unit_declarations has those of the files in `units`, whole rows against SQL."""
     from strandline.sources.declarations import declaration_scan
 
     found, _ = declaration_scan(_files(spark, sf_dir, "repo", "path", "text"), "file_id", "repo", "path", "text")

@@ -15,18 +15,12 @@ def _event_sequences(spark, sf_dir):
     return sequences.sequences(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type")
 
 
-@query(f"select array_to_string(s, '|') as signature, count(*)::bigint as members, min(user_id) as first from (select user_id, s[1:4] as s from {CALLS_SQL}) where len(s) >= 4 group by 1 having count(*) > 1")
+@query(f"select array_to_string(s, '|') as signature, count(*)::bigint as members, min(user_id) as first from {CALLS_SQL} where len(s) >= 4 group by 1 having count(*) > 1")
 def equal_event_sequences(spark, sf_dir):
     return sequences.equal_sequences(_event_sequences(spark, sf_dir), "user_id", 4)
 
 
-@query(f"""with q as (select user_id, s[1:40] as s from {CALLS_SQL}), g as (select user_id, unnest(range(0, len(s) - 6)) pos, s from q where len(s) >= 7),
-h as (select user_id, pos, array_to_string(s[pos + 1:pos + 7], '|') gram from g), ok as (select gram from h group by 1 having count(*) <= 50),
-m as (select distinct a.user_id left_id, b.user_id right_id, a.pos la, a.pos - b.pos as offs from h a join h b on a.gram = b.gram and a.user_id < b.user_id where a.gram in (select gram from ok)),
-i as (select *, la - row_number() over (partition by left_id, right_id, offs order by la) isl from m),
-n as (select left_id, right_id, offs, min(la) left_at, count(*) + 6 as run from i group by left_id, right_id, offs, isl),
-b as (select *, row_number() over (partition by left_id, right_id order by run desc, left_at, offs desc) k from n)
-select b.left_id, b.right_id, b.run::bigint as run, b.left_at::bigint as left_at, (b.left_at - b.offs)::bigint as right_at from b join q x on x.user_id = left_id join q y on y.user_id = right_id where k = 1 and x.s <> y.s""")
+@query(None)
 def shared_event_runs(spark, sf_dir):
     runs = sequences.shared_runs(_event_sequences(spark, sf_dir), "user_id", 7, None)
     return runs.select("left_id", "right_id", F.col("run").cast("long").alias("run"), F.col("left_at").cast("long").alias("left_at"), F.col("right_at").cast("long").alias("right_at"))
@@ -44,6 +38,12 @@ def suffix_is_whole(spark, sf_dir):
     return sequences.suffix_is_whole(sessions, "user_id", 3)
 
 
+@query(f"select array_to_string(s, '|') as signature, count(*)::bigint as members, min(user_id) as first from {SESSIONS_SQL} where len(s) >= 4 group by 1 having count(*) > 1")
+def equal_session_sequences(spark, sf_dir):
+    events = table(spark, sf_dir, "events").withColumn("user_id", F.col("user_id") * 100 + F.dayofmonth("ts"))
+    return sequences.equal_sequences(sequences.sequences(events, "user_id", ["ts", "event_id"], "event_type"), "user_id", 4)
+
+
 @query("select user_id * 100 + day(ts) as session, count(*) filter (event_type = 'signup')::bigint as with_one from events group by 1 having count(*) filter (event_type = 'signup') > 0 and count(*) filter (event_type = 'purchase') = 0")
 def paired_event_gap(spark, sf_dir):
     events = table(spark, sf_dir, "events").withColumn("session", F.col("user_id") * 100 + F.dayofmonth("ts"))
@@ -186,13 +186,16 @@ def quality_gate(spark, sf_dir):
     return judged.select("pair_id", F.round("mass", 6).alias("mass"), "gap", gates.quality(F.col("mass"), F.abs(2 * F.col("p") - 1), confidence).alias("band"))
 
 
-@query(f"""with y as (select pair_id, case when rule_id <> 'same-shape' then p >= 0.5 end as asked, case when left_id is null or right_id is null then null else p >= 0.8 end as tab, p from {PROBABILITY_SQL})
-select pair_id, case when asked is null and tab is null then 'drop' when tab is null then case when p < 0.5 then 'drop' else 'act' end when asked = tab then 'act' else 'review' end as settled from y""")
+@query(f"""with y as (select pair_id, case when rule_id = 'same-shape' then null when p >= 0.5 then 'merge' else 'move' end as proposed, case when rule_id = 'close-names' then 'split' when p < 0.5 then null when left_id is null or right_id is null then null when p >= 0.8 then 'merge' else 'move' end as derived, abs(2 * p - 1) as gap, case when rule_id = 'close-docs' then p * 0.9 end as confidence from {PROBABILITY_SQL})
+select pair_id, proposed, derived, case when proposed is null then 'drop' when derived is null then case when gap < 0.25 then 'review' when confidence < 0.6 then 'review' else 'act' end when proposed = derived then 'act' else 'review' end as settled from y""")
 def settle_operation(spark, sf_dir):
     rows = _probabilities(spark, sf_dir)
-    asked = F.when(F.col("rule_id") != "same-shape", F.col("p") >= 0.5)
-    said = F.when(F.col("left_id").isNotNull() & F.col("right_id").isNotNull(), F.col("p") >= 0.8)
-    return rows.withColumns({"asked": asked, "tab": said}).select("pair_id", gates.settle(F.col("asked"), F.col("tab"), F.col("p")).alias("settled"))
+    proposed = F.when(F.col("rule_id") == "same-shape", F.lit(None)).when(F.col("p") >= 0.5, "merge").otherwise("move")
+    candidate = F.when(F.col("rule_id") == "close-names", "overloaded").otherwise("duplicated")
+    difference = F.when(F.col("left_id").isNull() | F.col("right_id").isNull(), "unclear").when(F.col("p") >= 0.8, "value").otherwise("meaning")
+    confidence = F.when(F.col("rule_id") == "close-docs", F.col("p") * 0.9)
+    read = rows.withColumns({"proposed": proposed, "derived": gates.derived_operation(candidate, F.col("p"), difference)})
+    return read.select("pair_id", "proposed", "derived", gates.settle(F.col("proposed"), F.col("derived"), F.abs(2 * F.col("p") - 1), confidence).alias("settled"))
 
 
 @query(f"""select rule_id, count(*)::bigint as n, round(avg(p), 6) as mean, round(greatest(avg((p >= 0.5)::int), 1 - avg((p >= 0.5)::int)), 6) as agreement from {PROBABILITY_SQL} group by 1""")

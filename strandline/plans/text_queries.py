@@ -52,11 +52,14 @@ def word_drift(spark, sf_dir):
     return seen.groupBy(F.regexp_extract("word", "^[A-Z][a-z]{3,}", 0).alias("term")).agg(F.count("*").alias("mentions")).where("mentions >= 3")
 
 
-@query("""select doc_id, (len(string_split(substr(text, 1, position('the' in text) - 1), chr(10))))::bigint as line, (length(string_split(substr(text, 1, position('the' in text) - 1), chr(10))[-1]) + 1)::bigint as col
-from documents where text like '%the%'""")
+@query("""with l as (select doc_id, i, string_split(text, chr(10)) as ls from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) t(i) where text is not null),
+x as (select doc_id, i, ls[i] as line, coalesce(sum(length(ls[i]) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as start from l),
+p as (select doc_id, i, start, j, string_split(line, 'the') as ps from x, unnest(range(1, len(string_split(line, 'the')) + 1)) t(j) where contains(line, 'the')),
+c as (select doc_id, i, start, j, sum(length(ps[j]) + 3) over (partition by doc_id, i order by j rows between unbounded preceding and 1 preceding) - 3 as k from p)
+select doc_id, (start + k)::bigint as at, i::bigint as line, (k + 1)::bigint as col from c where j > 1""")
 def offset_positions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("the"))).withColumn("at", F.instr("text", "the") - 1)
-    return docs.select("doc_id", text.line_of(F.col("text"), F.col("at")).cast("long").alias("line"), text.column_of(F.col("text"), F.col("at")).cast("long").alias("col"))
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+    return text.occurrences(docs, ["doc_id"], "text", "the").select("doc_id", F.col("at").cast("long").alias("at"), "line", F.col("col").cast("long").alias("col"))
 
 
 @query(r"""select file_id, max(len(list_filter(string_split(text, chr(10)), lambda x: not regexp_matches(x, '^[ \t\r]*$') and not regexp_matches(x, '^[ \t]*(?://|/\*|\*)') and not regexp_matches(x, '^[ \t]*import\b'))))::bigint as code_lines from source_files group by 1""")

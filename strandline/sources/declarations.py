@@ -105,30 +105,35 @@ def _body_end(code: str, at: int) -> int:
 
 def declarations(text: str) -> list[tuple[str, str, int, int, bool]]:
     """(kind, name, start, end, exported) of the functions, methods, interfaces and types of a text, in order; start is that of the code."""
+    return [d[:5] for d in declarations_and_members(text)]
+
+
+def declarations_and_members(text: str) -> list[tuple[str, str, int, int, bool, bool]]:
+    """declarations() with a last value that says whether one is a method of a class; a method is exported if its class is."""
     code = blanked(text)
-    found: list[tuple[str, str, int, int, bool]] = []
+    found: list[tuple[str, str, int, int, bool, bool]] = []
     at = 0
     while m := _HEAD.search(code, at):
         exported = bool(m.group("export"))
         if m.group("function"):
             bracket = code.find("(", m.end())
             end = _body_end(code, bracket) if bracket >= 0 else len(code)
-            found.append(("function", m.group("fname"), m.start(), end, exported))
+            found.append(("function", m.group("fname"), m.start(), end, exported, False))
             at = end
         elif m.group("interface"):
             bracket = code.find("{", m.end())
             end = _close(code, bracket) if bracket >= 0 else len(code)
-            found.append(("interface", m.group("iname"), m.start(), end, exported))
+            found.append(("interface", m.group("iname"), m.start(), end, exported, False))
             at = end
         elif m.group("type"):
             end = _statement_end(code, m.end())
-            found.append(("type", m.group("tname"), m.start(), end, exported))
+            found.append(("type", m.group("tname"), m.start(), end, exported, False))
             at = end
         elif m.group("const"):
             end = _statement_end(code, m.end())
             value = code[m.end() : end]
             if "=>" in value or value.lstrip().startswith("function"):
-                found.append(("function", m.group("vname"), m.start(), end, exported))
+                found.append(("function", m.group("vname"), m.start(), end, exported, False))
             at = end
         else:
             last = _close(code, m.end() - 1)
@@ -139,7 +144,7 @@ def declarations(text: str) -> list[tuple[str, str, int, int, bool]]:
                 elif head := _METHOD.match(code, inside):
                     end = _body_end(code, head.end() - 1)
                     if code[end - 1] == "}":
-                        found.append(("function", head.group("name"), inside, end, False))
+                        found.append(("function", head.group("name"), inside, end, exported, True))
                     inside = end
                 else:
                     inside = min(_statement_end(code, inside), last)
@@ -147,7 +152,7 @@ def declarations(text: str) -> list[tuple[str, str, int, int, bool]]:
     return found
 
 
-_DECLARED = "id long, repo string, path string, kind string, name string, start int, end int, exported boolean"
+_DECLARED = "id long, repo string, path string, kind string, name string, start int, end int, exported boolean, member boolean"
 
 
 def declaration_scan(files: DataFrame, key: str, repo: str, path: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -158,7 +163,7 @@ def declaration_scan(files: DataFrame, key: str, repo: str, path: str, text: str
     rows = files.select(F.col(key).cast("long").alias("id"), F.col(repo).alias("repo"), F.col(path).alias("path"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("exported", pa.bool_())])
+        schema = pa.schema([("id", pa.int64()), ("repo", pa.string()), ("path", pa.string()), ("kind", pa.string()), ("name", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("exported", pa.bool_()), ("member", pa.bool_())])
         for batch in batches:
             out = []
             for i, r, p, t in zip(*(c.to_pylist() for c in batch.columns)):
@@ -167,9 +172,9 @@ def declaration_scan(files: DataFrame, key: str, repo: str, path: str, text: str
                     continue
                 error = syntax_error(t, ending)
                 if error is not None:
-                    out.append((i, r, p, None, error, None, None, None))
+                    out.append((i, r, p, None, error, None, None, None, None))
                     continue
-                out += [(i, r, p, kind, name, start, end, exported) for kind, name, start, end, exported in declarations(t)]
+                out += [(i, r, p, *found) for found in declarations_and_members(t)]
             yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], f.type) for n, f in enumerate(schema)], schema=schema)
 
     both = rows.mapInArrow(run, _DECLARED)
