@@ -16,19 +16,31 @@ def merge(ours: DataFrame, theirs: DataFrame, key: str, written: str) -> DataFra
     return both.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1").select(columns)
 
 
-def prune(rows: DataFrame, key: str, written: str, size: str, oldest, most: int, pieces: int = 64) -> DataFrame:
+#: Rows of one piece of time in which sums run.
+PIECE = 100_000
+
+
+def prune(rows: DataFrame, key: str, written: str, size: str, oldest, most: int, piece: int = PIECE) -> DataFrame:
     """Rows not older than `oldest`, and of those the newest (ties by key, greatest first) while their sizes sum to at most `most`.
 
-    The running sum is over all rows; it is taken in ranges of time, whose totals are summed first, so no task holds everything.
+    The running sum is over all rows. It is taken in pieces of time: rows are counted by second, seconds are put
+    together to pieces of about `piece` rows, and the totals of the pieces are summed first. No task holds more than a
+    piece or, where more rows than that bear one time, the rows of one second; their keys break the tie.
     """
-    kept = rows.where(F.col(written) >= F.lit(oldest))
-    piece = kept.select("*", F.col(written).cast("timestamp").cast("double").alias("_t"))
-    bounds = piece.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
-    placed = piece.crossJoin(F.broadcast(bounds)).withColumn("_piece", F.floor((F.col("hi") - F.col("_t")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-9)) * pieces))
-    totals = placed.groupBy("_piece").agg(F.sum(size).alias("_total"))
-    ahead = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    kept = rows.where(F.col(written) >= F.lit(oldest)).withColumn("_second", F.unix_timestamp(F.col(written).cast("timestamp")))
+    seconds = kept.groupBy("_second").agg(F.count("*").alias("_rows"), F.sum(size).alias("_size"))
+    # windows over the seconds alone: by day first, so that neither of them has all rows in one place but the days' totals
+    day = seconds.withColumn("_day", F.floor(F.col("_second") / 86400))
+    days = day.groupBy("_day").agg(F.sum("_rows").alias("_day_rows"))
+    before = Window.orderBy(F.col("_day").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("_ahead_rows", F.coalesce(F.sum("_day_rows").over(before), F.lit(0)))
+    inside = Window.partitionBy("_day").orderBy(F.col("_second").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = day.withColumn("_seen", F.coalesce(F.sum("_rows").over(inside), F.lit(0))).join(days.select("_day", "_ahead_rows"), "_day")
+    placed = numbered.select("_second", "_size", F.floor((F.col("_ahead_rows") + F.col("_seen")) / piece).alias("_piece"))
+    totals = placed.groupBy("_piece").agg(F.sum("_size").alias("_total"))
+    ahead = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_piece", "_ahead")
     within = Window.partitionBy("_piece").orderBy(F.col(written).desc(), F.col(key).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("_here", F.sum(size).over(within)).join(F.broadcast(ahead.select("_piece", "_ahead")), "_piece")
+    summed = kept.join(placed.join(ahead, "_piece").select("_second", "_piece", "_ahead"), "_second").withColumn("_here", F.sum(size).over(within))
     return summed.where(F.col("_here") + F.col("_ahead") <= most).select(rows.columns)
 
 
@@ -54,6 +66,6 @@ def write_store(answers: DataFrame, path: str, key: str = "key") -> None:
 
 def read_store(spark, path: str) -> tuple[DataFrame, DataFrame]:
     """(answers, unreadable lines) of a store; a line that isn't a row is a miss and never an error."""
-    read = spark.read.schema(COLUMNS + ", shard string, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()
+    read = spark.read.schema(COLUMNS + ", shard string, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
     good = read.where("_corrupt is null and key is not null").drop("_corrupt", "shard")
     return good, read.where("_corrupt is not null or key is null").select("_corrupt")

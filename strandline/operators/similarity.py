@@ -22,23 +22,66 @@ def ranked_prefix(sets: DataFrame, key: str, members: str, threshold: float) ->
     return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select(key, "gram", "place", "n")
 
 
-def similar_pairs(sets: DataFrame, key: str, members: str, threshold: float, least: int = 1) -> DataFrame:
-    """(left_id, right_id, likeness) of all pairs of sets with at least `least` members and that Jaccard likeness; left_id < right_id.
+def _classes(sets: DataFrame, key: str, members: str, least: int) -> DataFrame:
+    """(id, h, class_id): each record with its set as sorted hashes and the smallest id that has the same set."""
+    hashed = F.array_sort(F.array_distinct(F.transform(F.array_compact(members), lambda g: F.xxhash64(g))))
+    clean = cut(sets.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), hashed.alias("h")).where(F.size("h") >= max(1, least)))
+    # two hashes of the whole set stand for it, so that long sets aren't keys
+    named = clean.withColumns({"k1": F.xxhash64("h"), "k2": F.xxhash64(F.lit(17), "h")})
+    first = named.groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
+    return cut(named.join(first, ["k1", "k2"]).select("id", F.when(F.col("id") == F.col("class_id"), F.col("h")).alias("h"), "class_id"))
 
-    Grams are hashed to 64 bits for the joins and candidates verified on the sets themselves. Null sets and
-    null members take no part.
-    """
-    clean = cut(sets.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.array_distinct(F.array_compact(members)).alias("m")).where(F.size("m") >= max(1, least)).withColumn("h", F.transform("m", lambda g: F.xxhash64(g))))
-    prefix = cut(ranked_prefix(clean.select("id", "h"), "id", "h", threshold))
-    a, b = prefix.select(F.col("id").alias("left_id"), "gram", F.col("n").alias("na")), prefix.select(F.col("id").alias("right_id"), "gram", F.col("n").alias("nb"))
+
+def _similar(classes: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, likeness) between the representatives of _classes."""
+    clean = classes.where("id = class_id").select("id", "h")
+    prefix = cut(ranked_prefix(clean, "id", "h", threshold))
+    a, b = prefix.select(F.col("id").alias("left_id"), "gram", F.col("n").alias("na"), F.col("place").alias("pa")), prefix.select(F.col("id").alias("right_id"), "gram", F.col("n").alias("nb"), F.col("place").alias("pb"))
     fits = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    candidates = a.join(b, "gram").where("left_id < right_id").where(fits).select("left_id", "right_id").distinct()
+    # what can still be shared from here on, both sets being in the same order, must reach what that likeness needs
+    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
+    enough = most >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9
+    candidates = a.join(b, "gram").where("left_id < right_id").where(fits & enough).select("left_id", "right_id").distinct()
     left, right = clean.select(F.col("id").alias("left_id"), F.col("h").alias("ha")), clean.select(F.col("id").alias("right_id"), F.col("h").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb"))
     both = candidates.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", shared.alias("shared"), (F.size("ha") + F.size("hb") - shared).alias("either"))
     return both.where(F.col("shared") >= F.col("either") * F.lit(threshold) - 1e-9).select("left_id", "right_id", F.round(F.col("shared") / F.col("either"), 6).alias("likeness"))
 
 
+def similar_class_pairs(sets: DataFrame, key: str, members: str, threshold: float, least: int = 1) -> DataFrame:
+    """(left_id, right_id, likeness) of all pairs of different sets with at least `least` members and that Jaccard likeness; left_id < right_id.
+
+    Records with equal sets are one class, for which its smallest key stands: similar_classes says who belongs to
+    which, so that n copies are n rows and not n squared. Members are hashed to 64 bits. Null sets and null members
+    take no part.
+    """
+    return _similar(_classes(sets, key, members, least), threshold)
+
+
+def similar_pairs(sets: DataFrame, key: str, members: str, threshold: float, least: int = 1) -> DataFrame:
+    """(left_id, right_id, likeness) of all pairs of records: those of similar_class_pairs with every class written out, copies of one set among them.
+
+    The result grows with the square of the copies; where there may be many, take the classes.
+    """
+    classes = _classes(sets, key, members, least)
+    own = classes.select("id", "class_id")
+    left, right = own.select(F.col("id").alias("x"), F.col("class_id").alias("left_id")), own.select(F.col("id").alias("y"), F.col("class_id").alias("right_id"))
+    between = _similar(classes, threshold).join(left, "left_id").join(right, "right_id")
+    within = left.join(right, F.col("left_id") == F.col("right_id")).where("x < y").withColumn("likeness", F.lit(1.0))
+    both = between.select("x", "y", "likeness").unionByName(within.select("x", "y", "likeness"))
+    return both.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "likeness")
+
+
+def similar_classes(sets: DataFrame, key: str, members: str, threshold: float, least: int = 1) -> DataFrame:
+    """(key, class_id, members, links): for each record the smallest key of its set, how many records have that set, and to how many other sets it is alike."""
+    classes = _classes(sets, key, members, least)
+    pairs = _similar(classes, threshold)
+    ends = pairs.select(F.explode(F.array("left_id", "right_id")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    sizes = classes.groupBy("class_id").agg(F.count("*").alias("members"))
+    counted = sizes.join(ends, "class_id", "left")
+    return classes.select("id", "class_id").join(counted, "class_id").select(F.col("id").alias(key), "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def window_pairs(sets: DataFrame, key: str, members: str, threshold: float) -> DataFrame:
     """The same pairs by comparing every two sets whose sizes allow it: complete and slow, the measure for similar_pairs on small inputs."""
     clean = sets.select(F.col(key).alias("id"), F.array_distinct(members).alias("m")).where(F.size("m") > 0)
@@ -51,14 +94,21 @@ def window_pairs(sets: DataFrame, key: str, members: str, threshold: float) -> D
 
 
 def blocked_name_pairs(names: DataFrame, key: str, words: str, block: list[str], least_shared: int = 2, least_likeness: float = 0.5) -> DataFrame:
-    """(left_id, right_id, shared, likeness) of records of one block whose names are nearly the same words: equal sets, or nested with one word more.
+    """(left_id, right_id, shared, likeness, left_members, right_members) of names of one block that are nested with one word more.
 
-    The first word is part of the block, so only names about the same thing meet; within it the join is on shared words.
+    The first word is part of the block, so only names about the same thing meet. Records with the same words are
+    one name, for which the smallest key stands; its members are counted. A name finds the longer ones through the
+    keys these make by leaving out one word at a time, so nothing is compared that isn't in the result.
     """
-    rows = names.select(F.col(key).alias("id"), *block, F.array_distinct(words).alias("w")).where(F.size("w") >= least_shared)
-    each = rows.select("id", *block, F.size("w").alias("n"), F.element_at("w", 1).alias("head"), F.explode("w").alias("word"))
-    a = each.select(*block, "head", "word", F.col("id").alias("left_id"), F.col("n").alias("na"))
-    b = each.select(*block, "head", "word", F.col("id").alias("right_id"), F.col("n").alias("nb"))
-    met = a.join(b, [*block, "head", "word"]).where("left_id < right_id and abs(na - nb) <= 1").groupBy("left_id", "right_id", "na", "nb").agg(F.count("*").alias("shared"))
-    likeness = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return met.where(F.col("shared") >= least_shared).where("shared = least(na, nb)").withColumn("likeness", F.round(likeness, 6)).where(F.col("likeness") >= least_likeness).select("left_id", "right_id", "shared", "likeness")
+    rows = names.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), *block, F.array_distinct(words).alias("w")).where(F.size("w") >= least_shared)
+    sets = rows.select("id", *block, F.element_at("w", 1).alias("head"), F.array_sort("w").alias("w"))
+    on = [*block, "head", "w"]
+    classes = cut(sets.groupBy(*on).agg(F.min("id").alias("id"), F.count("*").alias("members")))
+    shorter = classes.select(*on, F.col("id").alias("short_id"), F.col("members").alias("short_members"))
+    # the head stays, or the name would be about something else
+    less = F.transform(F.filter(F.array_except("w", F.array("head")), lambda x: x.isNotNull()), lambda x: F.array_except("w", F.array(x)))
+    longer = classes.where(F.size("w") > least_shared).select(*block, "head", F.size("w").alias("n"), F.explode(less).alias("w"), F.col("id").alias("long_id"), F.col("members").alias("long_members"))
+    met = longer.join(shorter, on)
+    first = F.col("short_id") < F.col("long_id")
+    pairs = met.select(F.least("short_id", "long_id").alias("left_id"), F.greatest("short_id", "long_id").alias("right_id"), (F.col("n") - 1).cast("long").alias("shared"), F.round((F.col("n") - 1) / F.col("n"), 6).alias("likeness"), F.when(first, F.col("short_members")).otherwise(F.col("long_members")).alias("left_members"), F.when(first, F.col("long_members")).otherwise(F.col("short_members")).alias("right_members"))
+    return pairs.where(F.col("likeness") >= least_likeness)

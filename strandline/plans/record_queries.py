@@ -99,10 +99,10 @@ def cascade_sites(spark, sf_dir):
 PARTS_SQL = r"(select p_partkey, string_split(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g'), ' ') w, p_brand from part)"
 
 
-@query(f"""with n as (select p_partkey id, p_brand, list_distinct(list_filter(w, lambda x: x <> '')) ws, list_filter(w, lambda x: x <> '')[1] head from {PARTS_SQL}),
-e as (select id, p_brand, head, len(ws) n, unnest(ws) x from n where len(ws) >= 2),
-m as (select a.id left_id, b.id right_id, any_value(a.n) na, any_value(b.n) nb, count(*) k from e a join e b on a.p_brand = b.p_brand and a.head = b.head and a.x = b.x and a.id < b.id and abs(a.n - b.n) <= 1 group by 1, 2)
-select left_id, right_id, k::bigint as shared, round(k / (na + nb - k), 6) as likeness from m where k >= 2 and k = least(na, nb) and round(k / (na + nb - k), 6) >= 0.5""")
+@query(f"""with n as (select p_partkey id, p_brand, list_sort(list_distinct(list_filter(w, lambda x: x <> ''))) ws, list_filter(w, lambda x: x <> '')[1] head from {PARTS_SQL}),
+c as (select p_brand, head, ws, min(id) id, count(*) k from n where len(ws) >= 2 group by 1, 2, 3)
+select least(a.id, b.id) as left_id, greatest(a.id, b.id) as right_id, len(a.ws)::bigint as shared, round(len(a.ws) / len(b.ws), 6) as likeness, (case when a.id < b.id then a.k else b.k end)::bigint as left_members, (case when a.id < b.id then b.k else a.k end)::bigint as right_members
+from c a join c b on a.p_brand = b.p_brand and a.head = b.head and len(b.ws) = len(a.ws) + 1 and list_has_all(b.ws, a.ws) where round(len(a.ws) / len(b.ws), 6) >= 0.5""")
 def name_drift_pairs(spark, sf_dir):
     from strandline.functions.text import name_words
     from strandline.operators.similarity import blocked_name_pairs

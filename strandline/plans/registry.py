@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "near_duplicate_pairs"
+FLAGSHIP = "near_duplicate_classes"
 
 
 def query(sql: str | None = None):

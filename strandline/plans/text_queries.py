@@ -25,13 +25,25 @@ def exact_duplicate_clusters(spark, sf_dir):
     return docs.groupBy("digest").agg(F.count("*").alias("members"), F.min("doc_id").alias("first_doc"), F.count_distinct("source").alias("sources")).where("members > 1")
 
 
-@query(f"""with d as (select doc_id, {TOKEN_SQL} t from documents where text is not null), s as (select doc_id, {SHINGLE_SQL} s from d where len(t) >= 40),
-e as (select doc_id, unnest(s) g, len(s) n from s),
-p as (select a.doc_id left_id, b.doc_id right_id, count(*) k, any_value(a.n) na, any_value(b.n) nb from e a join e b on a.g = b.g and a.doc_id < b.doc_id and a.n >= 0.8 * b.n - 1e-9 and b.n >= 0.8 * a.n - 1e-9 group by 1, 2)
-select left_id, right_id, round(k / (na + nb - k), 6) as likeness from p where k >= 0.8 * (na + nb - k) - 1e-9""")
-def near_duplicate_pairs(spark, sf_dir):
+NEAR_SQL = f"""d as (select doc_id, {TOKEN_SQL} t from documents where text is not null), q as (select doc_id, list_sort({SHINGLE_SQL}) s from d where len(t) >= 40), c as (select s, min(doc_id) as class_id, count(*) as members from q group by 1),
+e as (select class_id, unnest(s) g, len(s) n from c),
+p as (select a.class_id left_id, b.class_id right_id, count(*) k, any_value(a.n) na, any_value(b.n) nb from e a join e b on a.g = b.g and a.class_id < b.class_id and a.n >= 0.8 * b.n - 1e-9 and b.n >= 0.8 * a.n - 1e-9 group by 1, 2),
+l as (select left_id, right_id, round(k / (na + nb - k), 6) as likeness from p where k >= 0.8 * (na + nb - k) - 1e-9)"""
+
+
+def _pair_sets(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.tokens(F.col("text")).alias("t")).where(F.size("t") >= 40)
-    return similarity.similar_pairs(docs.select("doc_id", text.shingles(F.col("t")).alias("s")), "doc_id", "s", 0.8)
+    return docs.select("doc_id", text.shingles(F.col("t")).alias("s"))
+
+
+@query(f"with {NEAR_SQL} select left_id, right_id, likeness from l")
+def near_duplicate_pairs(spark, sf_dir):
+    return similarity.similar_class_pairs(_pair_sets(spark, sf_dir), "doc_id", "s", 0.8)
+
+
+@query(f"with {NEAR_SQL}, n as (select class_id, count(*) as links from (select left_id as class_id from l union all select right_id from l) group by 1) select q.doc_id, c.class_id, c.members::bigint as members, coalesce(n.links, 0)::bigint as links from q join c on c.s = q.s left join n on n.class_id = c.class_id")
+def near_duplicate_classes(spark, sf_dir):
+    return similarity.similar_classes(_pair_sets(spark, sf_dir), "doc_id", "s", 0.8).select("doc_id", "class_id", "members", F.col("links").cast("long").alias("links"))
 
 
 @query(f"""with d as (select doc_id, {TOKEN_SQL} t from documents where text is not null), e as (select unnest({SHINGLE_SQL}) g from d)
