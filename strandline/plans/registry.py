@@ -23,6 +23,6 @@ def query(sql: str | None = None):
     return add
 
 
-from strandline.plans import code_queries, record_queries, text_queries  # noqa: E402
+from strandline.plans import code_queries, judging_queries, record_queries, text_queries  # noqa: E402
 
-assert code_queries and record_queries and text_queries
+assert code_queries and judging_queries and record_queries and text_queries
