@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import paths, text
 from strandline.operators import judging, roles, runs, types
-from strandline.plans.code_queries import EDGES_SQL, FILES_SQL, MODULE_SQL, UNITS_SQL, _edges, _files, _units
+from strandline.plans.code_queries import FILES_SQL, MODULE_SQL, UNITS_SQL, _files, _units
 from strandline.plans.registry import query
 from strandline.runtime import latest, table
 
@@ -83,48 +83,60 @@ def baseline_fragments(spark, sf_dir):
     return runs.baseline_fragments(table(spark, sf_dir, "unparsed_files"), "path")
 
 
-EXPORTS_SQL = f"(select repo || ':' || file_path as path, array_to_string(list_sort(list(name)), ',') as names from {UNITS_SQL} where exported and name is not null {{0}} group by 1)"
+#: edges between files: from that of each scored pair's left unit to that of its right one
+EDGES_SQL = f"""(select distinct a.repo || '/' || a.file_path as path, b.repo || '/' || b.file_path as resolved from scored_pairs p join {UNITS_SQL} a on a.unit_id = p.left_id join {UNITS_SQL} b on b.unit_id = p.right_id)"""
 
 
-@query(f"""with c as (select distinct repo || ':' || file_path as path from {UNITS_SQL} where scanned_at >= timestamp '2026-05-01'), w as {EXPORTS_SQL.format("and scanned_at < timestamp '2026-05-01'")}, n as {EXPORTS_SQL.format('')},
-m as (select c.path from c left join w on w.path = c.path left join n on n.path = c.path where coalesce(w.names, '') <> coalesce(n.names, '')), e as (select repo || ':' || path as path, repo || ':' || resolved as target from {EDGES_SQL} where resolved is not null)
+def _edges(spark, sf_dir):
+    places = _units(spark, sf_dir, F.concat_ws("/", "repo", "file_path").alias("place"))
+    pairs = table(spark, sf_dir, "scored_pairs").select("left_id", "right_id").distinct()
+    left, right = places.select(F.col("unit_id").alias("left_id"), F.col("place").alias("path")), places.select(F.col("unit_id").alias("right_id"), F.col("place").alias("resolved"))
+    return pairs.join(left, "left_id").join(right, "right_id").select("path", "resolved").distinct()
+
+
+EXPORTS_SQL = f"(select repo || '/' || file_path as path, array_to_string(list_sort(list(name)), ',') as names from {UNITS_SQL} where exported and name is not null {{0}} group by 1)"
+
+
+@query(f"""with c as (select distinct repo || '/' || file_path as path from {UNITS_SQL} where scanned_at >= timestamp '2026-05-01'), w as {EXPORTS_SQL.format("and scanned_at < timestamp '2026-05-01'")}, n as {EXPORTS_SQL.format('')},
+m as (select c.path from c left join w on w.path = c.path left join n on n.path = c.path where coalesce(w.names, '') <> coalesce(n.names, '')), e as (select path, resolved as target from {EDGES_SQL})
 select path from c union select e.path from e where target in (select path from m)""")
 def affected_files(spark, sf_dir):
-    units = _units(spark, sf_dir, F.concat_ws(":", "repo", "file_path").alias("path"), "name", "exported").withColumn("late", F.col("scanned_at") >= F.lit("2026-05-01").cast("timestamp"))
+    units = _units(spark, sf_dir, F.concat_ws("/", "repo", "file_path").alias("path"), "name", "exported").withColumn("late", F.col("scanned_at") >= F.lit("2026-05-01").cast("timestamp"))
     named = units.where("exported and name is not null")
     before, after = named.where("not late").groupBy("path").agg(F.collect_list("name").alias("names")), named.groupBy("path").agg(F.collect_list("name").alias("names"))
-    edges = _edges(spark, sf_dir).where("resolved is not null").select(F.concat_ws(":", "repo", "path").alias("importer"), F.concat_ws(":", "repo", "resolved").alias("target"))
+    edges = _edges(spark, sf_dir).select(F.col("path").alias("importer"), F.col("resolved").alias("target"))
     return runs.affected(units.where("late"), edges, before, after, "path", "importer", "target", "names")
 
 
-GRAPH_SQL = f"(select repo, {MODULE_SQL} as from_module, {MODULE_SQL.replace('path', 'resolved')} as to_module from {EDGES_SQL} where resolved is not null)"
+MODULE3_SQL = MODULE_SQL.replace("[1:2]", "[1:3]")
+GRAPH_SQL = f"(select {MODULE3_SQL} as from_module, {MODULE3_SQL.replace('path', 'resolved')} as to_module from {EDGES_SQL})"
 
 
 def _module_graph(spark, sf_dir):
-    edges = _edges(spark, sf_dir).where("resolved is not null")
-    return roles.module_graph(edges, paths.module_of(F.col("path"), 2), paths.module_of(F.col("resolved"), 2), ["repo"])
+    return roles.module_graph(_edges(spark, sf_dir), paths.module_of(F.col("path"), 3), paths.module_of(F.col("resolved"), 3), [])
 
 
-@query(f"select repo, from_module, to_module, count(*)::bigint as edges from {GRAPH_SQL} where from_module <> to_module group by 1, 2, 3")
+@query(f"select from_module, to_module, count(*)::bigint as edges from {GRAPH_SQL} where from_module <> to_module group by 1, 2")
 def module_graph(spark, sf_dir):
     return _module_graph(spark, sf_dir)
 
 
 ROLES = {"lib": ("domain", 1), "src": ("application", 2), "packages": ("interface", 3), "apps": ("interface", 3), "server": ("transport", 4)}
-ROLES_SQL = "(select distinct repo, " + MODULE_SQL + " as module, case string_split(path, '/')[1] when 'lib' then 'domain' when 'src' then 'application' when 'packages' then 'interface' when 'apps' then 'interface' when 'server' then 'transport' end as role, case string_split(path, '/')[1] when 'lib' then 1 when 'src' then 2 when 'packages' then 3 when 'apps' then 3 when 'server' then 4 end as rank from " + FILES_SQL + ")"
+ROLES_SQL = f"(select distinct repo, {MODULE3_SQL} as module, case string_split(path, '/')[3] when 'lib' then 'domain' when 'src' then 'application' when 'packages' then 'interface' when 'apps' then 'interface' when 'server' then 'transport' end as role, case string_split(path, '/')[3] when 'lib' then 1 when 'src' then 2 when 'packages' then 3 when 'apps' then 3 when 'server' then 4 end as rank from (select repo, repo || '/' || path as path from {FILES_SQL}))"
 
 
 def _roles(spark, sf_dir):
-    top = F.substring_index("path", "/", 1)
+    top = F.split_part("place", F.lit("/"), F.lit(3))
     named, rank = F.create_map(*[F.lit(x) for k, (r, _) in ROLES.items() for x in (k, r)]), F.create_map(*[F.lit(x) for k, (_, n) in ROLES.items() for x in (k, n)])
-    return _files(spark, sf_dir, "repo", "path").select("repo", paths.module_of(F.col("path"), 2).alias("module"), F.try_element_at(named, top).alias("role"), F.try_element_at(rank, top).alias("rank")).distinct()
+    files = _files(spark, sf_dir, "repo", F.concat_ws("/", "repo", "path").alias("place"))
+    return files.select("repo", paths.module_of(F.col("place"), 3).alias("module"), F.try_element_at(named, top).alias("role"), F.try_element_at(rank, top).alias("rank")).distinct()
 
 
-@query(f"""with g as (select distinct repo, from_module, to_module from {GRAPH_SQL} where from_module <> to_module), r as {ROLES_SQL},
-m as (select g.repo, a.role as from_role, b.role as to_role, g.from_module, g.to_module from g join r a on a.repo = g.repo and a.module = g.from_module join r b on b.repo = g.repo and b.module = g.to_module where a.role <> b.role and b.rank > a.rank and not starts_with(from_module, to_module || '/') and not starts_with(to_module, from_module || '/'))
-select repo, from_role, to_role, arg_min(from_module, from_module || chr(0) || to_module) as from_module, arg_min(to_module, from_module || chr(0) || to_module) as to_module from m group by 1, 2, 3""")
+@query(f"""with g as (select distinct from_module, to_module from {GRAPH_SQL} where from_module <> to_module), r as {ROLES_SQL},
+m as (select a.role as from_role, b.role as to_role, g.from_module, g.to_module from g join r a on a.module = g.from_module join r b on b.module = g.to_module where a.role <> b.role and b.rank > a.rank and not starts_with(from_module, to_module || '/') and not starts_with(to_module, from_module || '/'))
+select from_role, to_role, arg_min(from_module, from_module || chr(0) || to_module) as from_module, arg_min(to_module, from_module || chr(0) || to_module) as to_module from m group by 1, 2""")
 def upward_roles(spark, sf_dir):
-    return roles.upward_roles(_module_graph(spark, sf_dir), _roles(spark, sf_dir), ["repo"])
+    return roles.upward_roles(_module_graph(spark, sf_dir), _roles(spark, sf_dir).drop("repo").distinct(), [])
 
 
 @query(f"with r as {ROLES_SQL} select distinct repo, role from r where rank = (select max(rank) from r x where x.repo = r.repo)")

@@ -21,8 +21,3 @@ def query(sql: str | None = None):
         return function
 
     return add
-
-
-from strandline.plans import code_queries, judging_queries, record_queries, text_queries  # noqa: E402
-
-assert code_queries and judging_queries and record_queries and text_queries
