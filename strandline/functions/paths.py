@@ -8,6 +8,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: fixed value: paths of tests
+TEST_PATH = r"(?:^|/)(?:tests?|__tests__|specs?)(?:/|$)|\.(?:spec|test)\.[cm]?[jt]sx?$"
+# Helpers that compilers put into files by themselves.
+COMPILER_HELPERS = """__awaiter __generator __rest __spread __spreadArray __spreadArrays __values __read __readInt __assign __extends __decorate __metadata
+__param __createBinding __setFunctionName __toPrimitive __toPropertyKey __importDefault __importStar __export __exportStar __classPrivateFieldGet
+__classPrivateFieldSet __classPrivateFieldIn __addDisposableResource __disposeResources __esDecorate __runInitializers __propKey
+_interopRequireDefault _interopRequireWildcard _classCallCheck _defineProperty _toConsumableArray _typeof _extends _objectSpread _objectSpread2
+_slicedToArray _asyncToGenerator _createClass _getPrototypeOf _inherits""".split()
+
+
+def is_test_path(path: Column) -> Column:
+    return path.rlike(TEST_PATH)
+
+
+def is_compiler_helper(name: Column) -> Column:
+    return name.isin(COMPILER_HELPERS)
+
+
+def display_name(identity: Column) -> Column:
+    """path/to/file#name as file:name; what has no # stays."""
+    return F.when(F.contains(identity, F.lit("#")), F.concat_ws(":", base_name(F.regexp_extract(identity, r"^(.*)#[^#]*$", 1)), F.substring_index(identity, "#", -1))).otherwise(identity)
+
+
+def method_tail(identity: Column) -> Column:
+    """The method at the end of a resolved call: file#this.lock is lock."""
+    return F.substring_index(F.substring_index(identity, "#", -1), ".", -1)
+
+
+def component_name(path: Column) -> Column:
+    """The name a file's component would have: its base name without ending, each word with a capital."""
+    stem = F.regexp_replace(base_name(path), r"\.[^.]*$", "")
+    return F.array_join(F.transform(F.filter(F.split(stem, "[^A-Za-z0-9]+"), lambda w: w != ""), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000))), "")
+
+
 def glob_regex(glob: str, literal_question: bool = False, slash_after_stars: bool = True) -> str:
     """A regular expression for a whole path: * within a segment, ** across segments.
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: fixed value: a token is a run of word characters or any other single visible character
 TOKEN = r"[A-Za-z0-9_$]+|[^ \t\n\r\f\x0BA-Za-z0-9_$]"
@@ -121,3 +123,86 @@ def common_prefix_dir(paths: Column) -> Column:
     same = F.transform(F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")), lambda i: F.element_at(a, i) == F.element_at(b, i))
     length = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")), lambda s, x: F.struct(F.when(s["open"] & x, s["n"] + 1).otherwise(s["n"]).alias("n"), (s["open"] & x).alias("open")))["n"]
     return F.array_join(F.slice(a, F.lit(1), length), "/")
+
+
+def preceding_comment(text: Column, offset: Column) -> Column:
+    """The comment that ends directly before a 0-based offset, with nothing but white space between; '' without one."""
+    return F.regexp_extract(F.substring(text, F.lit(1), offset), r"(//[^\n]*|/\*[^*]*\*+(?:[^/*][^*]*\*+)*/)\s*$", 1)
+
+
+def call_chains(text: Column, least: int = 2) -> Column:
+    """The chains of at least so many method calls on a name, as written: name.first(...).second(...)."""
+    return F.regexp_extract_all(text, F.lit(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*\([^()]*\)){%d,}" % least), F.lit(0))
+
+
+def string_literals(text: Column) -> Column:
+    """The contents of the strings in single quotes, escapes kept as written."""
+    return F.regexp_extract_all(text, F.lit(r"'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'"), F.lit(1))
+
+
+_DECLARED = re.compile(r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)|\b(?:const|let|var)\s*([\[{][^=]*?[\]}])\s*=|\(([^()]*)\)\s*(?::[^=(){}]+)?\s*(?:=>|\{)|([A-Za-z_$][\w$]*)\s*=>")
+_PIECE = re.compile(r"(//[^\n]*|/\*[\s\S]*?(?:\*/|\Z))|(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|([A-Za-z_$][\w$]*)|([()\[\]{}])")
+
+
+def _bound(pattern: str) -> set[str]:
+    """The names a list of parameters or a destructuring binds: in braces what stands after a colon, elsewhere what stands before one."""
+    found, depth = set(), 0
+    for m in re.finditer(r"([{}])|([A-Za-z_$][\w$]*)(\s*:)?|[,\[\](]|=[^,{}\])]*|:\s*[^,={}\])]+", pattern):
+        if m.group(1):
+            depth += 1 if m.group(1) == "{" else -1
+        elif m.group(2) and not (m.group(3) and depth > 0):
+            found.add(m.group(2))
+    return found
+
+
+def normalised(text: str) -> str:
+    """A declaration with comments dropped, the names it binds itself as _, and white space as single blanks.
+
+    Property names, types and names from outside stay, so that two declarations which differ in the names of their
+    parameters and variables alone become equal.
+    """
+    bare = _PIECE.sub(lambda m: " " if m.group(1) else m.group(), text)
+    bound: set[str] = set()
+    for m in _DECLARED.finditer(bare):
+        for whole in (m.group(1), m.group(4)):
+            if whole:
+                bound.add(whole)
+        for pattern in (m.group(2), m.group(3)):
+            if pattern:
+                # types of parameters name nothing that is bound here
+                bound |= _bound(pattern if m.group(2) else re.sub(r":\s*[^,={}()]+(?=[,=)]|$)", "", _outside_braces(pattern)) + " " + " ".join(re.findall(r"\{[^{}]*\}", pattern)))
+    out, at, stack = [], 0, []
+    for m in _PIECE.finditer(bare):
+        out.append(bare[at : m.start()])
+        at = m.end()
+        name, bracket = m.group(3), m.group(4)
+        if bracket:
+            if bracket in "([{":
+                stack.append(bracket)
+            elif stack:
+                stack.pop()
+        if name in bound if name else False:
+            before, after = _neighbour(bare, m.start() - 1, -1), _neighbour(bare, at, 1)
+            key = after == ":" and before in ("{", ",") and stack and stack[-1] == "{"
+            if (before != "." or bare.endswith("...", 0, m.start())) and not key:
+                out.append("_")
+                continue
+        out.append(m.group())
+    return " ".join("".join([*out, bare[at:]]).split())
+
+
+def _neighbour(text: str, at: int, step: int) -> str:
+    """The nearest character from a place on that isn't white space, '' without one."""
+    while 0 <= at < len(text) and text[at].isspace():
+        at += step
+    return text[at] if 0 <= at < len(text) else ""
+
+
+def _outside_braces(pattern: str) -> str:
+    return re.sub(r"\{[^{}]*\}", "", pattern)
+
+
+@F.pandas_udf(T.StringType())
+def normalise(texts: pd.Series) -> pd.Series:
+    """normalised() of each text; null for null. Binding names needs a look at the whole declaration, which expressions can't take."""
+    return texts.map(lambda t: None if t is None else normalised(t))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import hashing, paths, text
-from strandline.operators import duplicates, fields, graph, imports, intervals, scope, sequences
+from strandline.operators import duplicates, fields, graph, imports, intervals, scope, sequences, sites
 from strandline.plans.registry import query
 from strandline.runtime import latest, table
 
@@ -354,13 +354,13 @@ select file_id, guarded, io::int as io, elements::int as elements from c where (
 def page_pressure(spark, sf_dir):
     files = _files(spark, sf_dir, "text")
     counted = files.select("file_id", F.col("text").rlike(r"catch \(error\)").alias("guarded"), F.size(F.regexp_extract_all("text", F.lit(r"\b(?:cache|store|queue|logger|clock)\.[a-z]+\("), F.lit(0))).alias("io"), F.size(F.regexp_extract_all("text", F.lit("<[A-Z][A-Za-z]*"), F.lit(0))).alias("elements"))
-    return counted.where("(io >= 3 and elements >= 1) or (guarded and io >= 5)")
+    return sites.pressed_pages(counted, "io", "elements", 3, 1).unionByName(counted.where("guarded and io >= 5 and not (io >= 3 and elements >= 1)"))
 
 
 @query(rf"""with c as (select unit_id, regexp_extract_all(text, '\b(?:cache|store|queue|logger|clock)\.[a-z]+(?:\()', 0) as calls from {UNITS_SQL} where kind = 'function') select unit_id, len(calls)::int as calls from c where list_contains(calls, 'store.get(') and not list_contains(calls, 'store.put(')""")
 def temporal_coupling(spark, sf_dir):
     calls = _units(spark, sf_dir, "kind", "text").where("kind = 'function'").select("unit_id", F.regexp_extract_all("text", F.lit(r"\b(?:cache|store|queue|logger|clock)\.[a-z]+(?:\()"), F.lit(0)).alias("calls"))
-    return calls.where(F.array_contains("calls", "store.get(") & ~F.array_contains("calls", "store.put(")).select("unit_id", F.size("calls").alias("calls"))
+    return sites.paired_calls(calls, "calls", "store.get(", "store.put(").select("unit_id", F.size("calls").alias("calls"))
 
 
 @query(rf"""with u as (select repo, regexp_extract(file_path, '^([^/]+)', 1) top, unit_id, is_test, list_distinct(regexp_extract_all(text, '''((?:[^''\\\n]|\\.)+)''', 1)) ls from {UNITS_SQL}), e as (select repo, top, unit_id, unnest(ls) l from u where not is_test)
@@ -368,7 +368,7 @@ select l as literal, count(distinct repo || '/' || top)::bigint as places, min(u
 def shared_literals(spark, sf_dir):
     units = _units(spark, sf_dir, "repo", "is_test", F.regexp_extract("file_path", "^([^/]+)", 1).alias("top"), F.array_distinct(F.regexp_extract_all("text", F.lit(r"'((?=[^'])[^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'"), F.lit(1))).alias("ls"))
     each = units.where("not is_test").select("repo", "top", "unit_id", F.explode("ls").alias("literal"))
-    return each.groupBy("literal").agg(F.count_distinct(F.concat_ws("/", "repo", "top")).alias("places"), F.min("unit_id").alias("first_unit")).where("places >= 2")
+    return sites.shared_literals(each.select("literal", F.concat_ws("/", "repo", "top").alias("place"), F.col("unit_id").alias("first_unit")), "literal", "place", "first_unit")
 
 
 @query(rf"""with f as {FILES_SQL}, t as (select repo, bool_and(lang = 'typescript' or lang is null) as only_ts, count(*) n from f group by 1), m as (select repo, team from repositories)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import answers, duplicates, fields, gates, graph, intervals, layers, report, sequences
+from strandline.operators import answers, duplicates, fields, gates, graph, intervals, layers, report, sequences, sites
 from strandline.plans.registry import query
 from strandline.runtime import table
 
@@ -85,7 +85,7 @@ def export_ratio(spark, sf_dir):
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders group by 1 having bool_and(o_orderpriority <> '5-LOW') and count(*) > 0)")
 def only_such_users(spark, sf_dir):
-    held = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_orderpriority") != "5-LOW").alias("ok")).where("ok")
+    held = sites.only_such_users(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderpriority") != "5-LOW")
     return table(spark, sf_dir, "customer").join(held, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
