@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +23,12 @@ class Rule:
     """A rule's candidates are rows (subject, path, facts): facts is JSON with what a judgement may look at."""
 
     id: str
-    plan: Callable[[dict[str, DataFrame]], DataFrame]
+    plan: Callable[[dict[str, DataFrame]], DataFrame] | None
     violations: tuple[str, ...]
     severity: str = "warning"
     version: str = "1"
+    #: a rule that judges by itself returns findings (subject, path, score) and asks nothing
+    run: Callable[[dict[str, DataFrame]], DataFrame] | None = None
 
 
 @dataclass
@@ -53,7 +55,7 @@ class Registry:
 
     def configured(self, severities: dict[str, str]) -> list[Rule]:
         """The rules that aren't off; own settings over the rule's default."""
-        kept = [Rule(r.id, r.plan, r.violations, severities.get(r.id, r.severity), r.version) for r in self.rules.values()]
+        kept = [replace(r, severity=severities.get(r.id, r.severity)) for r in self.rules.values()]
         return [r for r in kept if r.severity != "off"]
 
 
@@ -61,6 +63,8 @@ def plans(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
     """(rule, subject, path, fact, question): the candidates of all rules with the address of their facts and the key of their question."""
     union = None
     for rule in rules:
+        if rule.plan is None:
+            continue
         part = rule.plan(tables).select(F.lit(rule.id).alias("rule"), F.lit(rule.version).alias("version"), F.col("subject").cast("string").alias("subject"), "path", canonical_json(F.col("facts")).alias("facts"))
         union = part if union is None else union.unionByName(part)
     keyed = union.withColumn("fact", F.concat(F.lit("a"), sha16("facts")))
@@ -90,3 +94,38 @@ def judged(planned: DataFrame, answers: DataFrame, rules: list[Rule]) -> tuple[D
     kept = banded.where("band in ('act', 'review')").select("rule", "subject", "path", "score", "band", F.when(F.col("band") == "review", "info").otherwise(severity[F.col("rule")]).alias("severity"))
     dropped = banded.where("band not in ('act', 'review')").select("rule", "subject", F.when(F.col("band") == "drop", "gate").otherwise("unanswered").alias("stage"))
     return kept, dropped
+
+
+def self_judged(rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame | None:
+    """The findings of rules that answer themselves, in the form of judged(); None without such a rule."""
+    union = None
+    for rule in rules:
+        if rule.run is None:
+            continue
+        part = rule.run(tables).select(F.lit(rule.id).alias("rule"), F.col("subject").cast("string").alias("subject"), "path", F.col("score").cast("double").alias("score"), F.lit("act").alias("band"), F.lit(rule.severity).alias("severity"))
+        union = part if union is None else union.unionByName(part)
+    return union
+
+
+def stub_answers(planned: DataFrame, labels: dict[str, tuple[str, ...]], otherwise: str = "fine") -> DataFrame:
+    """Answers for tests, (key, label, probabilities, confidence): made of the question's key alone, so always the same, and in no way a judgement."""
+    share = F.pmod(F.xxhash64("question"), F.lit(1000)) / 1000.0
+    label = F.create_map(*[x for rule, names in labels.items() for x in (F.lit(rule), F.lit(names[0]))])[F.col("rule")]
+    asked = questions(planned)
+    return asked.select(F.col("question").alias("key"), F.when(share >= 0.5, label).otherwise(F.lit(otherwise)).alias("label"), F.create_map(label, share, F.lit(otherwise), 1 - share).alias("probabilities"), F.lit(None).cast("double").alias("confidence"))
+
+
+def faults(rules: list[Rule], allowed: dict[str, tuple[str, ...]] | None = None) -> list[tuple[str, str]]:
+    """(rule, fault) of rules that break what is expected of their authors, except where `allowed` names the fault for a rule.
+
+    Expected: violations are declared, each once; the rule is described; it asks or judges, and not both; a version is given.
+    """
+    allowed = allowed or {}
+    found = []
+    for rule in rules:
+        checks = {
+            "no-violations": not rule.violations, "repeated-violation": len(set(rule.violations)) < len(rule.violations), "no-version": not rule.version,
+            "unknown-severity": rule.severity not in ("error", "warning", "info", "off"), "asks-and-judges": rule.run is not None and rule.plan is not None,
+        }
+        found += [(rule.id, name) for name, broken in checks.items() if broken and name not in allowed.get(rule.id, ())]
+    return found

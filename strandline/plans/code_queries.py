@@ -339,9 +339,14 @@ def parse_failures(spark, sf_dir):
     return declaration_scan(_files(spark, sf_dir, "repo", "path", "text"), "file_id", "repo", "path", "text")[1].select("id", "path", "reason")
 
 
-@query(rf"""with f as {FILES_SQL}, x as (select file_id, 'string' as fact, unnest(regexp_extract_all(text, '''((?:[^''\\\n]|\\.)*)''', 1)) as value from f union all select file_id, 'comparison', unnest(regexp_extract_all(text, 'return[ \t]+([\w$.]+[ \t]*(?:===|!==|<|>)[ \t]*[\w$.]+)', 1)) from f
-union all select file_id, 'guard', unnest(regexp_extract_all(text, 'if[ \t]*\(([^()\n]*(?:===|!==)[ \t]*null)\)', 1)) from f union all select file_id, 'call', unnest(regexp_extract_all(text, '([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\(', 1)) from f)
-select fact, value, count(*)::bigint as sites, count(distinct file_id)::bigint as files from x group by 1, 2""")
+FACT_PATTERNS = {
+    "call": r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\(", "string": r"''((?:[^''\\\n]|\\.)*)''", "literal": r"\"((?:[^\"\\\n]|\\.)*)\"", "comparison": r"return[ \t]+([\w$.]+[ \t]*(?:===|!==|<|>)[ \t]*[\w$.]+)",
+    "guard": r"if[ \t]*\(([^()\n]*(?:===|!==)[ \t]*null)\)", "return": r"return[ \t]+([^;\n]+);", "skip": r"\b(continue|break)[ \t]*;", "object": r"\{ ((?:\.\.\.)?[\w$]+(?:: [^{},\n]+)?(?:, (?:\.\.\.)?[\w$]+(?:: [^{},\n]+)?)*) \}",
+    "element": r"<([A-Z][\w$]*(?:\.[A-Z][\w$]*)*)", "column": r"([\w$]+)\.(?:notNullable|nullable|primary)\(", "optional": r"function[ \t]+([\w$]+)\((?:[\w$]+(?:\?:| =)[^,()]*(?:, )?)+\)",
+}
+
+
+@query(f"with f as {FILES_SQL}, x as (" + " union all ".join(f"select file_id, '{name}' as fact, unnest(regexp_extract_all(text, '{pattern}', 1)) as value from f" for name, pattern in FACT_PATTERNS.items()) + ") select fact, value, count(*)::bigint as sites, count(distinct file_id)::bigint as files from x group by 1, 2")
 def structural_facts(spark, sf_dir):
     from strandline.sources.declarations import structural_facts as facts
 

@@ -181,11 +181,26 @@ def declaration_scan(files: DataFrame, key: str, repo: str, path: str, text: str
     return both.where("kind is not null"), both.where("kind is null").select("id", "repo", "path", F.col("name").alias("reason"))
 
 
+#: fixed values: what each list of facts is found by, and the group that is its value
+FACTS: dict[str, tuple[str, int]] = {
+    "call": (r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\(", 1),
+    "string": (r"'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'", 1),
+    "literal": (r"\"([^\"\\\n]*+(?:\\.[^\"\\\n]*+)*+)\"", 1),
+    "comparison": (r"return[ \t]+([\w$.]+[ \t]*(?:===|!==|<|>)[ \t]*[\w$.]+)", 1),
+    "guard": (r"if[ \t]*\(([^()\n]*(?:===|!==)[ \t]*null)\)", 1),
+    "return": (r"return[ \t]+([^;\n]+);", 1),
+    "skip": (r"\b(continue|break)[ \t]*;", 1),
+    "object": (r"\{ ((?:\.\.\.)?[\w$]+(?:: [^{},\n]+)?(?:, (?:\.\.\.)?[\w$]+(?:: [^{},\n]+)?)*) \}", 1),
+    "element": (r"<([A-Z][\w$]*(?:\.[A-Z][\w$]*)*)", 1),
+    "column": (r"([\w$]+)\.(?:notNullable|nullable|primary)\(", 1),
+    "optional": (r"function[ \t]+([\w$]+)\((?:[\w$]+(?:\?:| =)[^,()]*(?:, )?)+\)", 1),
+}
+
+
 def structural_facts(files: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """(keep..., fact, value) by expressions only: calls, string literals, returned comparisons and guards of each text."""
-    patterns = {"call": (r"([A-Za-z_$][\w$]*(?:\.[\w$]+)*)\(", 1), "string": (r"'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'", 1), "comparison": (r"return[ \t]+([\w$.]+[ \t]*(?:===|!==|<|>)[ \t]*[\w$.]+)", 1), "guard": (r"if[ \t]*\(([^()\n]*(?:===|!==)[ \t]*null)\)", 1)}
+    """(keep..., fact, value) by expressions only: the facts of FACTS in each text, in order within each list; comments and strings aren't told from code."""
     def found(name: str, pattern: str, group: int):
         return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.struct(F.lit(name).alias("fact"), v.alias("value")))
 
-    facts = F.concat(*[found(name, *where) for name, where in patterns.items()])
+    facts = F.concat(*[found(name, *where) for name, where in FACTS.items()])
     return files.select(*keep, F.explode(facts).alias("f")).select(*keep, "f.fact", "f.value")

@@ -34,3 +34,38 @@ def test_registry():
     registry.load("no_such_module")
     assert registry.notes and registry.notes[0][0] == "no_such_module"
     assert registry.configured({"a": "off"}) == [] and registry.configured({"a": "error"})[0].severity == "error"
+
+
+def test_the_catalogue_keeps_what_is_expected_of_authors():
+    from strandline.authoring import CATALOGUE, Rule, faults, registry
+
+    names = [name for name, *_ in CATALOGUE]
+    assert len(names) == len(set(names)) and all(violations for _, _, violations, _ in CATALOGUE)
+    everything = {table: None for *_, needs in CATALOGUE for table in needs}
+    assert faults(list(registry(everything).rules.values())) == [] and registry(everything).notes == []
+    bare = registry({"units": None})
+    assert "same-shape" in bare.rules and ("shared-run", "no table sequences") in bare.notes
+    bad = Rule("x", None, (), "loud", "")
+    assert [f for _, f in faults([bad])] == ["no-violations", "no-version", "unknown-severity"] and faults([bad], {"x": ("no-violations", "no-version", "unknown-severity")}) == []
+
+
+def test_rules_on_small_tables(spark):
+    from strandline.authoring import registry
+    from strandline.operators import rules
+
+    units = [(1, "r", "a.ts", "function", "readRow", True, False, 30, "h", [], None, None, "// Reads it.\nfunction readRow(deep: boolean) { if (deep) { continue; } }", 0, []), (2, "r", "b.ts", "function", "readRow", True, False, 30, "h", [], None, None, "function readRow() {}", 0, []), (3, "r", "c.ts", "type", "readRow", True, False, 5, "k", [], ["a", "b"], {"a": "x"}, "type readRow = {}", 0, [])]
+    frame = spark.createDataFrame(units, "unit_id long, repo string, file_path string, kind string, name string, exported boolean, is_test boolean, n_tokens int, shape_hash string, type_refs array<string>, fields array<string>, field_types map<string,string>, text string, start_pos int, returns array<string>")
+    tables = {"units": frame, "edges": spark.createDataFrame([("p/lib/a", "p/src/b"), ("p/src/b", "p/lib/a"), ("p/lib/a", "p/server/c")], "src string, dst string"), "links": spark.createDataFrame([(1, 2, False), (2, 1, True)], "src long, dst long, weak boolean"), "sequences": spark.createDataFrame([(1, ["a", "b", "c", "d"]), (2, ["x", "a", "b", "c", "d"]), (3, ["a", "b", "c", "d"])], "unit_id long, items array<string>")}
+    known = registry(tables)
+    planned = rules.plans(list(known.rules.values()), tables)
+    found = {}
+    for r in planned.collect():
+        found.setdefault(r.rule, []).append(r.subject)
+    assert len(found["same-shape"]) == 1 and found["many-meanings"] == ["readRow"] and found["described"] == ["1"] and found["switched-by-flag"] == ["1"] and found["uncounted-skip"] == ["1"]
+    assert sorted(found["upward-layer"]) == ["p/lib/a>p/server/c", "p/lib/a>p/src/b"] and found["forbidden-layer"] == ["p/lib/a>p/server/c"] and found["link-cycle"] == ["1"]
+    assert len(found["same-calls"]) == 1 and sorted(found["shared-run"]) == ["1~2", "2~3"] and found["ends-as-another"] == ["2"] and found["unnamed-fields"] == ["3"]
+    answers = rules.stub_answers(planned, {r.id: r.violations for r in known.rules.values()})
+    kept, dropped = rules.judged(planned, answers, list(known.rules.values()))
+    assert kept.count() + dropped.count() == planned.count() and rules.missing(planned, answers).count() == 0
+    own = rules.Rule("own", None, ("yes",), run=lambda t: t["units"].selectExpr("name as subject", "file_path as path", "1.0 as score").limit(1))
+    assert [tuple(r) for r in rules.self_judged([own], tables).select("rule", "band", "severity").collect()] == [("own", "act", "warning")] and rules.self_judged([], tables) is None
