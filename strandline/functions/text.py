@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 #: fixed value: a token is a run of word characters or any other single visible character
 TOKEN = r"[A-Za-z0-9_$]+|[^ \t\n\r\f\x0BA-Za-z0-9_$]"
 
-# fixed values: abbreviations written out when names are compared
+#: abbreviations that are written out when names are compared, unless others are given
 ABBREVIATIONS = {
     "cfg": "config", "ctx": "context", "db": "database", "desc": "description", "dir": "directory", "err": "error", "fn": "function",
     "id": "identifier", "idx": "index", "img": "image", "info": "information", "msg": "message", "num": "number", "obj": "object",
@@ -40,13 +40,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) == 0, F.lit(1.0)).otherwise(shared / either)
 
 
-def name_words(name: Column, expand: bool = True) -> Column:
+def name_words(name: Column, expand: bool = True, abbreviations: dict[str, str] | None = None) -> Column:
     """The lower-case words of a camel, snake or kebab name, abbreviations written out if `expand`."""
     spaced = F.regexp_replace(F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1 $2"), r"([A-Z]+)([A-Z][a-z])", "$1 $2")
     words = F.filter(F.split(F.lower(F.regexp_replace(spaced, r"[^A-Za-z0-9]+", " ")), " "), lambda w: w != "")
     if not expand:
         return words
-    known = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    known = F.create_map(*[F.lit(x) for pair in (ABBREVIATIONS if abbreviations is None else abbreviations).items() for x in pair]) if abbreviations != {} else None
+    if known is None:
+        return words
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(known, w), w))
 
 

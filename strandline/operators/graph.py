@@ -58,6 +58,14 @@ def greedy_cliques(pairs: DataFrame, largest: int = 1000) -> DataFrame:
     return searched.unionByName(rest)
 
 
+def split_oversize(cliques: DataFrame, most: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(cliques of at most `most` nodes, drops): the nodes of larger ones and those only chained to one are dropped with the reason."""
+    sizes = cliques.where("role = 'clique'").groupBy("component").agg(F.count("*").alias("_n"))
+    both = cliques.join(sizes, "component", "left")
+    reason = F.when(F.col("role") != "clique", F.col("role")).when(F.col("_n") > most, "oversize")
+    return both.where(reason.isNull()).select("component", "node"), both.where(reason.isNotNull()).select("component", "node", reason.alias("reason"))
+
+
 def reachable(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(from, to) of all nodes joined by a path of one step or more, cycles included.
 

@@ -129,3 +129,17 @@ def faults(rules: list[Rule], allowed: dict[str, tuple[str, ...]] | None = None)
         }
         found += [(rule.id, name) for name, broken in checks.items() if broken and name not in allowed.get(rule.id, ())]
     return found
+
+
+def merged_config(*layers: dict) -> dict:
+    """Configurations from the most general to one's own: later ones win, rule by rule; lists of patterns add up, each once."""
+    out: dict = {}
+    for layer in layers:
+        for key, value in layer.items():
+            if isinstance(value, dict):
+                out[key] = {**out.get(key, {}), **value}
+            elif isinstance(value, list):
+                out[key] = [*out.get(key, []), *(x for x in value if x not in out.get(key, []))]
+            else:
+                out[key] = value
+    return out

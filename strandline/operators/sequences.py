@@ -60,3 +60,10 @@ def beside(rows: DataFrame, key: str, order: list[str], item: str) -> DataFrame:
     """Each row with the item before and after it."""
     window = Window.partitionBy(key).orderBy(*order)
     return rows.withColumns({"before": F.lag(item).over(window), "after": F.lead(item).over(window)})
+
+
+def run_context(runs: DataFrame, sequence: DataFrame, key: str, side: str, at: str, run: str = "run", most: int = 3) -> DataFrame:
+    """The runs with the items before and after them in one of their sequences, at most `most` on each side."""
+    own = runs.join(sequence.select(F.col(key).alias(side), "items"), side)
+    before = F.slice("items", F.greatest(F.col(at) - most, F.lit(0)) + 1, F.least(F.col(at), F.lit(most)))
+    return own.withColumns({"before": before, "after": F.slice("items", F.col(at) + F.col(run) + 1, F.lit(most))}).drop("items")

@@ -111,6 +111,17 @@ def ignored_paths(spark, sf_dir):
     return scope.ignored(_files(spark, sf_dir, "path"), "path", IGNORE_RULES).select("file_id", "ignored", "rule")
 
 
+TREE_RULES = [("", 0, "*.mts"), ("", 1, "m1*/"), ("src", 0, "!m1*/"), ("src/app", 0, "m2*/"), ("packages/web", 0, "/src/"), ("server", 0, "*.ts"), ("server", 1, "!*.test.ts")]
+
+
+@query(rf"""with r(dir, ord, neg, rx) as (values ('', 0, false, '^(?:.*/)?[^/]*\.mts(?:/.*)?$'), ('', 1, false, '^(?:.*/)?m1[^/]*/.*$'), ('src', 0, true, '^(?:.*/)?m1[^/]*/.*$'), ('src/app', 0, false, '^(?:.*/)?m2[^/]*/.*$'), ('packages/web', 0, false, '^src/.*$'), ('server', 0, false, '^(?:.*/)?[^/]*\.ts(?:/.*)?$'), ('server', 1, true, '^(?:.*/)?[^/]*\.test\.ts(?:/.*)?$')),
+f as (select file_id, path from {FILES_SQL}), m as (select f.file_id, arg_max(not neg, len(dir) * 100 + ord) v from f join r on (dir = '' or starts_with(path, dir || '/')) and regexp_matches(case when dir = '' then path else substr(path, len(dir) + 2) end, rx) group by 1)
+select f.file_id, coalesce(v, false) as ignored from f left join m using (file_id)""")
+def ignored_in_tree(spark, sf_dir):
+    rules = spark.createDataFrame(TREE_RULES, "dir string, ord int, rule string")
+    return scope.ignored_in_tree(_files(spark, sf_dir, "path"), "path", rules).select("file_id", "ignored")
+
+
 @query(rf"select file_id from {FILES_SQL} where regexp_matches(path, '^(?:.*/)?[^/]*\.(?:ts|tsx|mts)$') and not regexp_matches(path, '^(?:.*/)?[^/]*\.test\.[^/]*$')")
 def scoped_paths(spark, sf_dir):
     return scope.in_globs(_files(spark, sf_dir, "path"), "path", ["**/*.ts", "**/*.tsx", "**/*.mts"], ["**/*.test.*"]).select("file_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import answers, duplicates, fields, gates, graph, intervals, layers, report, sequences, sites
+from strandline.operators import answers, duplicates, fields, gates, graph, intervals, layers, report, scope, sequences, sites
 from strandline.plans.registry import query
 from strandline.runtime import table
 
@@ -250,6 +250,20 @@ def rendered_report(spark, sf_dir):
     return report.rendered(report.sorted_findings(_findings(spark, sf_dir)), "unix")
 
 
+@query(f"""select 'text' as form, path || ':' || line || ':' || col || ' ' || severity || ' likely copy (' || rule || ')' as line_text from {FINDING_SQL} union all select 'stylish', '  ' || line || ':' || col || '  ' || severity || '  likely copy  ' || rule from {FINDING_SQL}
+union all select 'github', '::' || case severity when 'error' then 'error' when 'warning' then 'warning' else 'notice' end || ' file=' || path || ',line=' || line || ',col=' || col || '::likely copy' from {FINDING_SQL}
+union all select 'json', '{{"path":"' || path || '","line":' || line || ',"col":' || col || ',"severity":"' || severity || '","rule":"' || rule || '","message":"likely copy"}}' from {FINDING_SQL}""")
+def rendered_forms(spark, sf_dir):
+    forms = [report.rendered(_findings(spark, sf_dir), form).select(F.lit(form).alias("form"), "line_text") for form in ("text", "stylish", "github", "json")]
+    return forms[0].unionByName(forms[1]).unionByName(forms[2]).unionByName(forms[3])
+
+
+@query(f"select rule, path, line, col, round(score, 6) as score, case rule when 'close-names' then 'error' else severity end as severity from {FINDING_SQL} where rule <> 'same-shape' and not (path like '1%') and (rule <> 'close-docs' or path like '%5')")
+def configured_findings(spark, sf_dir):
+    found = scope.configured(_findings(spark, sf_dir), "path", ["1*"], {"close-docs": ["*5"]}, {"close-names": "error", "same-shape": "off"})
+    return found.select("rule", "path", "line", "col", F.round("score", 6).alias("score"), "severity")
+
+
 @query(f"select rule, path, line, col, severity, round(score, 6) as score from {FINDING_SQL} order by score desc, path, line limit 200000000")
 def ranked_report(spark, sf_dir):
     return report.ranked(_findings(spark, sf_dir)).select("rule", "path", "line", "col", "severity", F.round("score", 6).alias("score"))

@@ -191,3 +191,32 @@ def test_canonical_json_sorts_keys_and_keeps_arrays(spark):
     rows = spark.createDataFrame([('{"b": [2, 1], "a": {"d": 1, "c": null}}',), ("no json",), (None,)], "j string")
     assert [r[0] for r in rows.select(hashing.canonical_json(F.col("j"))).collect()] == ['{"a":{"c":null,"d":1},"b":[2,1]}', None, None]
     assert hashing.answer_key("m", "1", {"x": 1, "y": 2}, []) == hashing.answer_key("m", "1", {"y": 2, "x": 1}, [])
+
+
+def test_oversize_cliques_are_dropped(spark):
+    cliques = spark.createDataFrame([(1, n, "clique") for n in range(4)] + [(9, 9, "clique"), (9, 10, "clique"), (9, 11, "chained"), (20, 20, "oversize")], "component long, node long, role string")
+    kept, dropped = graph.split_oversize(cliques, 3)
+    assert ids(kept) == [(9, 9), (9, 10)] and ids(dropped) == [(1, 0, "oversize"), (1, 1, "oversize"), (1, 2, "oversize"), (1, 3, "oversize"), (9, 11, "chained"), (20, 20, "oversize")]
+
+
+def test_context_of_a_run(spark):
+    from strandline.operators import sequences
+
+    sequence = spark.createDataFrame([(1, list("abcdefgh")), (2, list("cde"))], "id long, items array<string>")
+    runs = spark.createDataFrame([(1, 2, 3, 2, 0)], "left_id long, right_id long, run int, left_at int, right_at int")
+    got = sequences.run_context(runs, sequence, "id", "left_id", "left_at").first()
+    assert got.before == ["a", "b"] and got.after == ["f", "g", "h"]
+    assert sequences.run_context(runs, sequence, "id", "right_id", "right_at").first()[-2:] == ([], [])
+
+
+def test_deeper_ignore_files_win(spark):
+    rows = spark.createDataFrame([("a.log",), ("keep/a.log",), ("keep/deep/a.log",), ("keep/b.ts",), ("b.ts",)], "path string")
+    rules = spark.createDataFrame([("", 0, "*.log"), ("keep", 0, "!*.log"), ("keep/deep", 0, "*.log"), ("", 1, "# none"), ("", 2, "")], "dir string, ord int, rule string")
+    assert ids(scope.ignored_in_tree(rows, "path", rules)) == [("a.log", True), ("b.ts", False), ("keep/a.log", False), ("keep/b.ts", False), ("keep/deep/a.log", True)]
+    assert ids(scope.ignored_in_tree(rows, "path", rules.limit(0)))[0] == ("a.log", False)
+
+
+def test_configurations_merge_from_general_to_own():
+    from strandline.operators.rules import merged_config
+
+    assert merged_config({"rules": {"a": "off", "b": "info"}, "ignore": ["x"], "n": 1}, {"rules": {"a": "error"}, "ignore": ["x", "y"], "n": 2}) == {"rules": {"a": "error", "b": "info"}, "ignore": ["x", "y"], "n": 2}
