@@ -22,6 +22,9 @@ STRIPE_ENTRIES = 1_000_000
 #: Slices of the neighbours' hash space in which the stripe of one item is merged.
 SLICES = 16
 
+#: Items up to which their counts go to every task, so that no item's occurrences are gathered; it is checked against the count.
+FEW_ITEMS = 200_000
+
 _STRIPE = "item string, slice int, neighbours array<string>, counts array<bigint>"
 
 
@@ -116,7 +119,10 @@ def item_pairs(records: DataFrame, key: str, items: str, order: str | None = Non
     total = rows.agg(F.count("*").alias("n"))
     each = rows.select("id", F.explode("items").alias("item"))
     counts = cut(each.groupBy("item").agg(F.count("*").alias("n_item")).where(F.col("n_item") >= least))
-    baskets = each.join(counts.select("item"), "item").groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
+    wanted = counts.select("item")
+    if counts.count() <= FEW_ITEMS:
+        wanted = F.broadcast(wanted)
+    baskets = each.join(wanted, "item").groupBy("id").agg(F.array_sort(F.collect_list("item")).alias("items")).where(F.size("items") > 1)
     slices = F.transform("items", lambda x: F.pmod(F.xxhash64(x), F.lit(SLICES)).cast("int"))
     stripes = baskets.select("items", slices.alias("slices")).mapInArrow(_fold, _STRIPE)
     merged = stripes.repartition("item", "slice").sortWithinPartitions("item", "slice").mapInArrow(_merge(least), "item_a string, item_b string, together long")

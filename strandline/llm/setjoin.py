@@ -55,14 +55,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(F.col("shared") >= F.col("either") * F.lit(threshold) - 1e-9).select("l", "r", (F.col("shared") / F.col("either")).alias("likeness"))
 
 
-def similar_set_pairs(records: DataFrame, key: str, part: str, members: str, order: str | None = None, threshold: float = 0.7, least: int = 1, side: str | None = None, home: float = HOME) -> DataFrame:
-    """(part, left_id, right_id, likeness) of all pairs of one part whose sets are at least that alike; left_id < right_id.
-
-    `members` is an array of strings, of which nulls and repeats don't count; sets with fewer than `least`
-    members (at least one) take no part. Rows of one (part, key) count once, the one with the greatest
-    `order`. Records with equal sets are joined as one and expanded at the end. With `side` (a column of two
-    values) only pairs of different sides are returned, which is the join of two tables. Null keys are left out.
-    """
+def _class_pairs(records: DataFrame, key: str, part: str, members: str, order: str | None, threshold: float, least: int, side: str | None, home: float) -> tuple[DataFrame, DataFrame]:
+    """(owners, pairs): which record has which class of equal sets, and the pairs (part, cl, cr, likeness) of different classes that are alike."""
     least = max(1, least)
     strings = F.array_distinct(F.array_compact(members))
     hashed = F.array_sort(F.transform(strings, lambda m: F.xxhash64(m)))
@@ -97,9 +91,33 @@ def similar_set_pairs(records: DataFrame, key: str, part: str, members: str, ord
 
     name = sets.select("id", "part", "class_id")
     pairs = found.join(name.select(F.col("id").alias("l"), "part", F.col("class_id").alias("cl")), "l").join(name.select(F.col("id").alias("r"), F.col("class_id").alias("cr")), "r")
+    return owners, pairs.select("part", "cl", "cr", "likeness")
+
+
+def similar_set_classes(records: DataFrame, key: str, part: str, members: str, order: str | None = None, threshold: float = 0.7, least: int = 1, home: float = HOME) -> DataFrame:
+    """(part, key, class_id, members, links): for each record the smallest key with its set, how many records have it, and to how many other sets it is alike.
+
+    The same join as similar_set_pairs, with n copies of a set in n rows instead of n squared.
+    """
+    owners, pairs = _class_pairs(records, key, part, members, order, threshold, least, None, home)
+    ends = pairs.select("part", F.explode(F.array("cl", "cr")).alias("class_id")).groupBy("part", "class_id").agg(F.count("*").alias("links"))
+    sizes = owners.groupBy("part", "class_id").agg(F.count("*").alias("members")).join(ends, ["part", "class_id"], "left")
+    return owners.join(sizes, ["part", "class_id"]).select(F.col("part").alias(part), F.col("member").alias(key), "class_id", "members", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def similar_set_pairs(records: DataFrame, key: str, part: str, members: str, order: str | None = None, threshold: float = 0.7, least: int = 1, side: str | None = None, home: float = HOME) -> DataFrame:
+    """(part, left_id, right_id, likeness) of all pairs of one part whose sets are at least that alike; left_id < right_id.
+
+    `members` is an array of strings, of which nulls and repeats don't count; sets with fewer than `least`
+    members (at least one) take no part. Rows of one (part, key) count once, the one with the greatest
+    `order`. Records with equal sets are joined as one and expanded at the end. With `side` (a column of two
+    values) only pairs of different sides are returned, which is the join of two tables. Null keys are left out. The result holds all
+    pairs of copies too; similar_set_classes doesn't write them out.
+    """
+    owners, pairs = _class_pairs(records, key, part, members, order, threshold, least, side, home)
     left = owners.select("part", F.col("class_id").alias("cl"), F.col("member").alias("ml"), F.col("side").alias("sl"))
     right = owners.select("part", F.col("class_id").alias("cr"), F.col("member").alias("mr"), F.col("side").alias("sr"))
-    wide = pairs.select("part", "cl", "cr", "likeness").join(left, ["part", "cl"]).join(right, ["part", "cr"])
+    wide = pairs.join(left, ["part", "cl"]).join(right, ["part", "cr"])
     same = left.join(right, (left["part"] == right["part"]) & (left["cl"] == right["cr"])).drop(right["part"]).where("ml < mr or (ml = mr and sl < sr)").withColumn("likeness", F.lit(1.0))
     columns = ["part", "ml", "mr", "sl", "sr", "likeness"]
     everything = wide.select(columns).unionByName(same.select(columns))

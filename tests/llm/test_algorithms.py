@@ -11,7 +11,7 @@ from strandline.llm.components import connected_components
 from strandline.llm.cooccurrence import item_pairs
 from strandline.llm.mixture import draw_slots, mix_sources, permuted, plan_mix
 from strandline.llm.neardup import near_duplicate_groups, pair_hashes, set_groups, trees_needed
-from strandline.llm.setjoin import similar_set_pairs
+from strandline.llm.setjoin import similar_set_classes, similar_set_pairs
 
 
 def grouped(links):
@@ -120,6 +120,12 @@ def test_set_pairs_between_two_tables(spark):
     assert got == [(1, 1), (1, 2), (1, 3), (2, 3)]
 
 
+def test_set_classes_count_links(spark):
+    rows = [("p", i, ["a", "b", "c"]) for i in range(5)] + [("p", 9, ["a", "b", "c", "d"]), ("p", 10, ["x"]), ("q", 11, ["a", "b", "c"]), ("p", 12, None)]
+    got = similar_set_classes(spark.createDataFrame(rows, "part string, id long, m array<string>"), "id", "part", "m", threshold=0.7).collect()
+    assert {(r.part, r.id): (r.class_id, r.members, r.links) for r in got} == {**{("p", i): (0, 5, 1) for i in range(5)}, ("p", 9): (9, 1, 1), ("p", 10): (10, 1, 0), ("q", 11): (11, 1, 0)}
+
+
 def test_item_pairs_equal_brute_force(spark):
     rng = random.Random(2)
     baskets = {i: {f"i{min(rng.randrange(12), rng.randrange(12))}" for _ in range(rng.randrange(0, 5))} for i in range(300)}
