@@ -103,7 +103,7 @@ def file_origins(files: DataFrame, key: str = "file_id", order: str = "ingested_
     facts = read.groupBy("id").agg(F.max_by(F.struct("repo", "signs", "literal", repeats.alias("repeats")), F.struct(F.col("seen").isNotNull().alias("known"), "seen")).alias("f")).select("id", "f.*")
     if not use_signs:
         facts = facts.withColumn("signs", F.array().cast("array<string>"))
-    groups = set_groups(read.select("id", "seen", "hashes"), LIKENESS, depth=DEPTH)
+    groups = set_groups(read.select("id", "seen", "hashes"), LIKENESS, depth=DEPTH, steps=(0,))
     origin = F.exists("signs", lambda s: s.isin(*ORIGIN_SIGNS))
     placed = cut(facts.join(groups, "id", "left").select("id", "repo", "signs", "literal", "repeats", F.coalesce("group_id", "id").alias("cluster_id"), origin.alias("origin")))
     sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("cluster_files"), F.count_distinct("repo").alias("cluster_repos"), F.min("repeats").alias("repeats"), F.min(F.col("literal").cast("int")).alias("all_literal"))
@@ -132,7 +132,7 @@ def _copied(rows: DataFrame, members: DataFrame, total: DataFrame) -> DataFrame:
     written = cut(texts.mapInArrow(_written, "id long, seen timestamp, hashes array<bigint>"))
     if written.isEmpty():
         return members.select("id", F.lit("copies").alias("copied")).limit(0)
-    groups = cut(set_groups(written, LIKENESS, depth=DEPTH))
+    groups = cut(set_groups(written, LIKENESS, depth=DEPTH, steps=(0,)))
     groups = groups.join(members, "id").join(_evidence(written, groups.select("id"), total), "id")
     alike = groups.groupBy("group_id").agg(F.count("*").alias("n"), F.count_distinct("repo").alias("repos"), F.max("origin").alias("origin"), F.min("bits").alias("bits")).where("n >= 2 and (repos >= 2 or origin)").where(F.col("bits") >= LEAST_BITS)
     return groups.join(alike.select("group_id"), "group_id", "left_semi").select("id", F.lit("copies").alias("copied"))

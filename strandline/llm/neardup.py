@@ -151,8 +151,11 @@ def near_duplicate_groups(records: DataFrame, key: str = "unit_id", tokens: str
     return set_groups(rows, threshold, recall, depth).select(F.col("id").alias(key), "group_id")
 
 
-def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTH, small: int = SMALL_BUCKET) -> DataFrame:
-    """(id, group_id) of rows(id, seen, hashes), hashes being sorted and different: the forest over any sets of hashes."""
+def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL, depth: int = DEPTH, small: int = SMALL_BUCKET, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """(id, group_id) of rows(id, seen, hashes), hashes being sorted and different: the forest over any sets of hashes.
+
+    The last of `steps` must be 0, the base depth; where that is deep already, steps on the way to it save nothing.
+    """
     base = cut(rows.withColumns({"row": F.monotonically_increasing_id(), "k1": F.xxhash64("hashes"), "k2": F.xxhash64(F.lit(17), F.col("hashes"))}))
     live = base.groupBy("id").agg(F.max_by(F.struct("row", "k1", "k2", (F.size("hashes") > 0).alias("full")), F.struct("seen", "row")).alias("last")).select("id", "last.*").where("full")
     classes = live.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count("*").alias("members"), F.min_by("row", "id").alias("row"))
@@ -173,7 +176,7 @@ def set_groups(rows: DataFrame, threshold: float, recall: float = TARGET_RECALL,
     grouped = cut(connected_components(cut(_links(compared, sets, threshold))).select(F.col("vertex").alias("id"), F.col("group_id").alias("part")))
 
     buckets = buckets.where("n > 2").drop("n")
-    for step in STEPS:
+    for step in steps:
         placed = buckets.join(grouped, "id", "left").select("bucket", F.shiftright("below", LABEL_BITS * (BELOW - step)).alias("prefix"), "id", F.coalesce("part", "id").alias("part"))
         fresh = cut(_across(placed, sets, threshold, small).join(compared, ["a", "b"], "left_anti"))
         late = _links(fresh, sets, threshold)
