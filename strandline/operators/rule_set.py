@@ -4,7 +4,8 @@ Tables, all optional (a rule whose tables aren't there is skipped with a note):
 units(unit_id, repo, file_path, kind, name, exported, is_test, n_tokens, shape_hash, type_refs, fields, field_types, text, start_pos),
 calls(unit_id, file, name), sequences(unit_id, items), links(src, dst, weak), edges(src, dst), layers as a list in LAYERS,
 uses(repo, package, file), declared(repo, package), sets(unit_id, shingles), imports(specifier, path), files(repo, path, text),
-module_edges(from_module, to_module), module_roles(module, role, rank), columns and mapped(repo, field, nullable).
+module_edges(from_module, to_module), module_roles(module, role, rank), columns and mapped(repo, field, nullable),
+documents(doc_id, text), vocabulary(word), bundles(dir, prefix, promised, declared).
 """
 
 from __future__ import annotations
@@ -175,6 +176,26 @@ def switched_by_flag(t: Tables) -> DataFrame:
     return _rows(tested, F.col("unit_id"), _place(), flag=F.col("flag"))
 
 
+def pressed_page(t: Tables, states: str = r"\buseState\b(?:<[^()\n]*>)?\(", elements: str = r"<[A-Z][\w$.]*") -> DataFrame:
+    """Files that hold much state and many elements of their own: should they be put together from parts?"""
+    counted = t["files"].select("repo", "path", F.size(F.regexp_extract_all("text", F.lit(states), F.lit(0))).alias("states"), F.size(F.regexp_extract_all("text", F.lit(elements), F.lit(0))).alias("elements"))
+    return _rows(sites.pressed_pages(counted, "states", "elements"), _place("repo", "path"), _place("repo", "path"), states=F.col("states"), elements=F.col("elements"))
+
+
+def drifting_word(t: Tables, least: int = 3) -> DataFrame:
+    """Capitalised words of prose that don't begin a sentence, are said often, and are no words of the vocabulary."""
+    words = t["documents"].where("text is not null").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
+    inside = sequences.beside(words, "doc_id", ["at"], "word").where(F.col("word").rlike("^[A-Z][a-z]{3,}") & F.col("before").isNotNull() & (F.col("before") != "") & ~F.col("before").rlike(r"[.!?:\n]\z"))
+    terms = inside.select(F.explode(text.name_words(F.regexp_extract("word", "^[A-Z][A-Za-z]{3,}", 0), expand=False)).alias("word"))
+    counted = terms.groupBy("word").agg(F.count("*").alias("mentions")).where(F.col("mentions") >= least)
+    return _rows(counted.join(t["vocabulary"].select(F.lower("word").alias("word")).distinct(), "word", "left_anti"), F.col("word"), mentions=F.col("mentions"))
+
+
+def uneven_bundle(t: Tables) -> DataFrame:
+    found = roles.missing_and_orphans(t["bundles"], "promised", "declared", "prefix").where((F.size("missing") > 0) | (F.size("orphans") > 0))
+    return _rows(found, F.col("dir"), F.col("dir"), missing=F.col("missing"), orphans=F.col("orphans"))
+
+
 #: id, plan, violating answers, the tables it needs
 CATALOGUE: list[tuple[str, Callable[[Tables], DataFrame], tuple[str, ...], tuple[str, ...]]] = [
     ("same-shape", same_shape, ("redundant",), ("units",)),
@@ -204,6 +225,9 @@ CATALOGUE: list[tuple[str, Callable[[Tables], DataFrame], tuple[str, ...], tuple
     ("outage", outage, ("about_a_row",), ("units",)),
     ("described", described, ("contradicts", "outdated", "says_nothing"), ("units",)),
     ("switched-by-flag", switched_by_flag, ("switched",), ("units",)),
+    ("pressed-page", pressed_page, ("worth_fixing",), ("files",)),
+    ("drifting-word", drifting_word, ("the_word",), ("documents", "vocabulary")),
+    ("uneven-bundle", uneven_bundle, ("violation",), ("bundles",)),
 ]
 
 

@@ -220,3 +220,10 @@ def test_configurations_merge_from_general_to_own():
     from strandline.operators.rules import merged_config
 
     assert merged_config({"rules": {"a": "off", "b": "info"}, "ignore": ["x"], "n": 1}, {"rules": {"a": "error"}, "ignore": ["x", "y"], "n": 2}) == {"rules": {"a": "error", "b": "info"}, "ignore": ["x", "y"], "n": 2}
+
+
+def test_preference_and_identity(spark):
+    rows = spark.createDataFrame([("k", 2, "b"), ("k", 1, "z"), ("k", 1, "a"), ("m", None, "c")], "key string, rank int, name string")
+    assert ids(fields.with_preference(rows, ["key"], [F.col("rank"), F.col("name")])) == [("k", 1, "a"), ("m", None, "c")]
+    same = spark.createDataFrame([("r", "s", ["b", "a", "b"]), ("r", "s", ["a", "b"])], "rule string, symbol string, files array<string>")
+    assert len({r.i for r in same.select(report.finding_identity(F.col("rule"), F.col("symbol"), F.col("files")).alias("i")).collect()}) == 1

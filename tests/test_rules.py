@@ -69,3 +69,16 @@ def test_rules_on_small_tables(spark):
     assert kept.count() + dropped.count() == planned.count() and rules.missing(planned, answers).count() == 0
     own = rules.Rule("own", None, ("yes",), run=lambda t: t["units"].selectExpr("name as subject", "file_path as path", "1.0 as score").limit(1))
     assert [tuple(r) for r in rules.self_judged([own], tables).select("rule", "band", "severity").collect()] == [("own", "act", "warning")] and rules.self_judged([], tables) is None
+
+
+def test_rules_on_pages_words_and_bundles(spark):
+    from strandline.operators import rule_set
+
+    page = "const [a, b] = useState(1);\n" * 3 + "<Row />\n" * 15
+    files = spark.createDataFrame([("r", "a.tsx", page), ("r", "b.tsx", page[30:]), ("r", "c.tsx", None)], "repo string, path string, text string")
+    assert [r.subject for r in rule_set.pressed_page({"files": files}).collect()] == ["r/a.tsx"]
+    docs = spark.createDataFrame([(1, "The Ledger is a Ledger of the Ledger. Market day"), (2, "at the Market and the Market or a Market"), (3, None)], "doc_id long, text string")
+    words = spark.createDataFrame([("Market",), (None,)], "word string")
+    assert [r.subject for r in rule_set.drifting_word({"documents": docs, "vocabulary": words}).collect()] == ["ledger"]
+    bundles = spark.createDataFrame([("x", "Card", ["Display", "Gone"], ["CardDisplay"]), ("y", "E", ["A"], ["A"])], "dir string, prefix string, promised array<string>, declared array<string>")
+    assert [r.subject for r in rule_set.uneven_bundle({"bundles": bundles}).collect()] == ["x"]

@@ -87,3 +87,23 @@ def test_stream_of_new_rows(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     on_new_rows(spark, str(tmp_path / "in"), rows.schema, lambda d: d.groupBy("k").count(), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted((r.k, r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_windowed_counts_leave_late_rows_out(spark, tmp_path):
+    from strandline.streaming.incremental import windowed_counts
+
+    schema = "ts timestamp, k string"
+    stamps = ["2024-01-01 00:05", "2024-01-01 00:10", "2024-01-01 09:00"]
+    spark.createDataFrame([(t, "a") for t in stamps], "t string, k string").selectExpr("cast(t as timestamp) ts", "k").coalesce(1).write.parquet(str(tmp_path / "in"))
+    counted = windowed_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "ts", ["k"])
+
+    def run():
+        query = counted.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run()
+    # later than two hours before the latest seen: too late
+    spark.createDataFrame([("2024-01-01 00:30", "a"), ("2024-01-01 20:00", "a")], "t string, k string").selectExpr("cast(t as timestamp) ts", "k").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    got = {(str(r.window_start), r.k): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[("2024-01-01 00:00:00", "a")] == 2 and got.get(("2024-01-01 09:00:00", "a")) == 1 and len(got) == 2
