@@ -1,50 +1,143 @@
-"""Set-similarity joins: prefix filtering, and the complete size-window sweep it must equal."""
+"""Set-similarity joins: prefix filtering with sketches, and the complete size-window sweep it must equal."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.runtime import cut
 
+#: Frequent grams whose order is kept: the others count as rare. Any order gives the same pairs, a better one with less work.
+KNOWN_GRAMS = 65_536
+#: Words of 64 bits in the sketch of a set, and the members up to which a set fills one of them; from there on twice as many for twice the members.
+SKETCH_WORDS, MEMBERS_A_WORD = 8, 96
+#: Members that are sketched at a time, and records with candidates up to which their keys go to every task.
+SKETCHED, FEW_KEYS = 1 << 20, 100_000
+WORDS = [f"w{i}" for i in range(SKETCH_WORDS)]
+
 
 def gram_frequency(sets: DataFrame, key: str, members: str) -> DataFrame:
     """(gram, records) over all sets."""
     return sets.select(key, F.explode(F.array_distinct(members)).alias("gram")).groupBy("gram").agg(F.count("*").alias("records"))
 
 
-def ranked_prefix(sets: DataFrame, key: str, members: str, threshold: float) -> DataFrame:
-    """(key, gram, place, n): the rarest grams of each set, of which a set of that likeness must share one."""
-    grams = sets.select(key, F.explode(F.array_distinct(members)).alias("gram"))
-    rare = gram_frequency(sets, key, members)
-    order = Window.partitionBy(key).orderBy("records", "gram")
-    placed = grams.join(rare, "gram").withColumns({"place": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy(key))})
-    return placed.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).select(key, "gram", "place", "n")
+def _sets(sets: DataFrame, key: str, members: str, least: int) -> DataFrame:
+    """(id, h, k1, k2): each record with its set as sorted hashes, for which two hashes of the whole set stand, so that long sets aren't keys."""
+    hashed = F.array_sort(F.array_distinct(F.transform(F.array_compact(members), lambda g: F.xxhash64(g))))
+    clean = sets.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), hashed.alias("h")).where(F.size("h") >= max(1, least))
+    return cut(clean.withColumns({"k1": F.xxhash64("h"), "k2": F.xxhash64(F.lit(17), "h")}))
+
 
+def _classes(clean: DataFrame) -> DataFrame:
+    """(id, k1, k2, class_id): each record of _sets and the smallest id that has the same set. The sets themselves stay where they are."""
+    named = clean.select("id", "k1", "k2")
+    return cut(named.join(named.groupBy("k1", "k2").agg(F.min("id").alias("class_id")), ["k1", "k2"]).select("id", "k1", "k2", "class_id"))
 
-def _classes(sets: DataFrame, key: str, members: str, least: int) -> DataFrame:
-    """(id, h, class_id): each record with its set as sorted hashes and the smallest id that has the same set."""
-    hashed = F.array_sort(F.array_distinct(F.transform(F.array_compact(members), lambda g: F.xxhash64(g))))
-    clean = cut(sets.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), hashed.alias("h")).where(F.size("h") >= max(1, least)))
-    # two hashes of the whole set stand for it, so that long sets aren't keys
-    named = clean.withColumns({"k1": F.xxhash64("h"), "k2": F.xxhash64(F.lit(17), "h")})
-    first = named.groupBy("k1", "k2").agg(F.min("id").alias("class_id"))
-    return cut(named.join(first, ["k1", "k2"]).select("id", F.when(F.col("id") == F.col("class_id"), F.col("h")).alias("h"), "class_id"))
-
-
-def _similar(classes: DataFrame, threshold: float) -> DataFrame:
-    """(left_id, right_id, likeness) between the representatives of _classes."""
-    clean = classes.where("id = class_id").select("id", "h")
-    prefix = cut(ranked_prefix(clean, "id", "h", threshold))
-    a, b = prefix.select(F.col("id").alias("left_id"), "gram", F.col("n").alias("na"), F.col("place").alias("pa")), prefix.select(F.col("id").alias("right_id"), "gram", F.col("n").alias("nb"), F.col("place").alias("pb"))
-    fits = (F.col("na") >= F.col("nb") * threshold - 1e-9) & (F.col("nb") >= F.col("na") * threshold - 1e-9)
-    # what can still be shared from here on, both sets being in the same order, must reach what that likeness needs
-    most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + F.least("pa", "pb")
-    enough = most >= (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-9
-    candidates = a.join(b, "gram").where("left_id < right_id").where(fits & enough).select("left_id", "right_id").distinct()
-    left, right = clean.select(F.col("id").alias("left_id"), F.col("h").alias("ha")), clean.select(F.col("id").alias("right_id"), F.col("h").alias("hb"))
+
+def _mix(key: np.ndarray) -> np.ndarray:
+    key = (key ^ (key >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    key = (key ^ (key >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return key ^ (key >> np.uint64(33))
+
+
+def _sketches(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """The words of each segment's sketch: a bit is set if an odd number of members fall on it, so two sketches differ in no more bits than their sets in members.
+
+    A sketch of half the length is the first half combined with the second; small sets have only that.
+    """
+    place = _mix(values.view(np.uint64)) & np.uint64(64 * SKETCH_WORDS - 1)
+    bit, word = np.uint64(1) << (place & np.uint64(63)), place >> np.uint64(6)
+    words = [np.bitwise_xor.reduceat(np.where(word == np.uint64(i), bit, np.uint64(0)), starts) for i in range(SKETCH_WORDS)]
+    half = SKETCH_WORDS // 2
+    while half:
+        short = sizes <= MEMBERS_A_WORD * half
+        for i in range(half):
+            words[i] = np.where(short, words[i] ^ words[half + i], words[i])
+            words[half + i] = np.where(short, np.uint64(0), words[half + i])
+        half //= 2
+    return words
+
+
+def _prefixes(known: np.ndarray, rank: np.ndarray, threshold: float):
+    """Batches of (id, k1, k2, h) to rows (id, k1, k2, n, prefix, the sketch's words): prefix has the rarest grams of each set in order, of which a set of that likeness must share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(np.diff(batch.column(3).offsets.to_numpy()).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SKETCHED, side="right")))
+                part = batch.slice(at, upto - at)
+                at = upto
+                sizes = np.diff(part.column(3).offsets.to_numpy()).astype(np.int64)
+                values = part.column(3).flatten().to_numpy(zero_copy_only=False)
+                starts = np.cumsum(sizes) - sizes
+                order = np.full(len(values), -1, dtype=np.int64)
+                if len(known):
+                    found = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                    order = np.where(known[found] == values, rank[found], order)
+                ordered = values[np.lexsort((values, order, np.repeat(np.arange(len(sizes)), sizes)))]
+                kept = sizes - np.ceil(sizes * threshold - 1e-9).astype(np.int64) + 1
+                prefix = ordered[np.arange(len(values)) - np.repeat(starts, sizes) < np.repeat(kept, sizes)]
+                offsets = np.concatenate(([0], np.cumsum(np.minimum(kept, sizes)))).astype(np.int32)
+                words = [pa.array(w.view(np.int64)) for w in _sketches(values, starts, sizes)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(prefix)), *words], names=["id", "k1", "k2", "n", "prefix", *WORDS])
+
+    return run
+
+
+def _apart(a: str, b: str, na: Column, nb: Column) -> Column:
+    """The bits in which two sketches differ, both brought to the length of the shorter one."""
+    differ = [F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}")) for i in range(SKETCH_WORDS)]
+    least, count, length = F.least(na, nb), None, SKETCH_WORDS
+    steps = []
+    while True:
+        steps.append((length, sum((F.bit_count(x) for x in differ[1:]), F.bit_count(differ[0]))))
+        if length == 1:
+            break
+        length //= 2
+        differ = [differ[i].bitwiseXOR(differ[length + i]) for i in range(length)]
+    for length, bits in steps:
+        count = bits if count is None else F.when(least <= MEMBERS_A_WORD * length, bits).otherwise(count)
+    return count
+
+
+def _candidates(prefixes: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id) of different records of _prefixes that may be that alike, every pair that is among them."""
+    rows = prefixes.select("id", "n", *WORDS, F.posexplode("prefix").alias("place", "gram"))
+    a = rows.select("gram", F.col("id").alias("left_id"), F.col("n").alias("na"), F.col("place").alias("pa"), *[F.col(w).alias(f"a{i}") for i, w in enumerate(WORDS)])
+    b = rows.select("gram", F.col("id").alias("right_id"), F.col("n").alias("nb"), F.col("place").alias("pb"), *[F.col(w).alias(f"b{i}") for i, w in enumerate(WORDS)])
+    na, nb = F.col("na"), F.col("nb")
+    fits = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9)
+    # both sets are in the same order: from the first gram they share on (places count from 0), enough must be left
+    enough = F.least(na - F.col("pa"), nb - F.col("pb")) >= (na + nb) * F.lit(threshold / (1 + threshold)) - 1e-9
+    near = _apart("a", "b", na, nb) <= (na + nb) * F.lit((1 - threshold) / (1 + threshold)) + 1e-6
+    return a.join(b, "gram").where("left_id < right_id").where(fits).where(enough).where(near).select("left_id", "right_id").distinct()
+
+
+def _similar(clean: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(left_id, right_id, likeness) between the representatives of _classes.
+
+    Sets are long and stay in the table of _sets: what is moved are their prefixes with a sketch, then the sets of those
+    records that are candidates.
+    """
+    often = gram_frequency(clean, "id", "h").where("records > 1").orderBy(F.desc("records"), "gram").limit(KNOWN_GRAMS).select("gram").toArrow()["gram"].to_numpy()
+    by_value = np.argsort(often)
+    schema = T.StructType([*clean.select("id", "k1", "k2").schema, T.StructField("n", T.IntegerType()), T.StructField("prefix", T.ArrayType(T.LongType())), *[T.StructField(w, T.LongType()) for w in WORDS]])
+    every = clean.select("id", "k1", "k2", "h").mapInArrow(_prefixes(often[by_value], len(often) - by_value, threshold), schema)
+    first = classes.where("id = class_id").select("id", "k1", "k2").distinct()
+    pairs = cut(_candidates(cut(every.join(first, ["id", "k1", "k2"], "left_semi")), threshold))
+    keys = cut(pairs.select(F.explode(F.array("left_id", "right_id")).alias("id")).distinct().join(first, "id"))
+    wanted = F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+    opened = clean.join(wanted, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
+    left, right = opened.select(F.col("id").alias("left_id"), F.col("h").alias("ha")), opened.select(F.col("id").alias("right_id"), F.col("h").alias("hb"))
     shared = F.size(F.array_intersect("ha", "hb"))
-    both = candidates.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", shared.alias("shared"), (F.size("ha") + F.size("hb") - shared).alias("either"))
+    both = pairs.join(left, "left_id").join(right, "right_id").select("left_id", "right_id", shared.alias("shared"), (F.size("ha") + F.size("hb") - shared).alias("either"))
     return both.where(F.col("shared") >= F.col("either") * F.lit(threshold) - 1e-9).select("left_id", "right_id", F.round(F.col("shared") / F.col("either"), 6).alias("likeness"))
 
 
@@ -55,7 +148,8 @@ def similar_class_pairs(sets: DataFrame, key: str, members: str, threshold: floa
     which, so that n copies are n rows and not n squared. Members are hashed to 64 bits. Null sets and null members
     take no part.
     """
-    return _similar(_classes(sets, key, members, least), threshold)
+    clean = _sets(sets, key, members, least)
+    return _similar(clean, _classes(clean), threshold)
 
 
 def similar_pairs(sets: DataFrame, key: str, members: str, threshold: float, least: int = 1) -> DataFrame:
@@ -63,10 +157,11 @@ def similar_pairs(sets: DataFrame, key: str, members: str, threshold: float, lea
 
     The result grows with the square of the copies; where there may be many, take the classes.
     """
-    classes = _classes(sets, key, members, least)
+    clean = _sets(sets, key, members, least)
+    classes = _classes(clean)
     own = classes.select("id", "class_id")
     left, right = own.select(F.col("id").alias("x"), F.col("class_id").alias("left_id")), own.select(F.col("id").alias("y"), F.col("class_id").alias("right_id"))
-    between = _similar(classes, threshold).join(left, "left_id").join(right, "right_id")
+    between = _similar(clean, classes, threshold).join(left, "left_id").join(right, "right_id")
     within = left.join(right, F.col("left_id") == F.col("right_id")).where("x < y").withColumn("likeness", F.lit(1.0))
     both = between.select("x", "y", "likeness").unionByName(within.select("x", "y", "likeness"))
     return both.select(F.least("x", "y").alias("left_id"), F.greatest("x", "y").alias("right_id"), "likeness")
@@ -74,8 +169,9 @@ def similar_pairs(sets: DataFrame, key: str, members: str, threshold: float, lea
 
 def similar_classes(sets: DataFrame, key: str, members: str, threshold: float, least: int = 1) -> DataFrame:
     """(key, class_id, members, links): for each record the smallest key of its set, how many records have that set, and to how many other sets it is alike."""
-    classes = _classes(sets, key, members, least)
-    pairs = _similar(classes, threshold)
+    clean = _sets(sets, key, members, least)
+    classes = _classes(clean)
+    pairs = _similar(clean, classes, threshold)
     ends = pairs.select(F.explode(F.array("left_id", "right_id")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     sizes = classes.groupBy("class_id").agg(F.count("*").alias("members"))
     counted = sizes.join(ends, "class_id", "left")

@@ -38,6 +38,54 @@ def test_similar_pairs_with_nulls_and_empty_sets(spark):
     assert ids(similarity.similar_pairs(sets.limit(0), "id", "s", 0.7)) == []
 
 
+def shuffled(spark):
+    """Bytes of shuffle written so far."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    jvm = spark._jvm
+    stages = context.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def phrased_sets(n=1000):
+    """Sets of five of sixty phrases: many share one and hardly any two are alike, but every hundredth has a copy with one member more."""
+    rng = random.Random(5)
+    sets = [(i, [f"p{p}-{j}" for p in rng.sample(range(60), 5) for j in range(20)]) for i in range(n)]
+    return sets + [(n + i, sets[i][1] + [f"x{i}"]) for i in range(0, n, 100)]
+
+
+@pytest.mark.parametrize("classes", [True])
+def test_sets_that_only_share_a_phrase_are_not_moved(spark, classes):
+    rows = phrased_sets()
+    sets = spark.createDataFrame(rows, "id long, s array<string>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sets were many
+    try:
+        before = shuffled(spark)
+        got = ids(similarity.similar_classes(sets, "id", "s", 0.8).where("links > 0").select("id") if classes else similarity.similar_class_pairs(sets, "id", "s", 0.8))
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved < 4 * sum(8 * len(s) for _, s in rows)
+    want = [(i, j) for i, a in rows for j, b in rows if i < j and len({*a} & {*b}) >= 0.8 * len({*a} | {*b})]
+    assert len(want) >= 10 and (sorted({(i,) for p in want for i in p}) if classes else want) == [g if classes else g[:2] for g in got]
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 0.95, 1.0])
+def test_sets_of_all_sizes_equal_window_sweep(spark, threshold):
+    rng = random.Random(11)
+    rows = []
+    for n in (1, 2, 5, 30, 95, 96, 97, 110, 191, 193, 380, 390, 800, 1500):
+        for _ in range(4):
+            base = [f"g{rng.randrange(4000)}" for _ in range(n)]
+            # edits about as many as the threshold allows, some less and some more
+            for share in (0, 0.02, 0.05, 0.1, 0.2, 0.3):
+                rows.append((len(rows), rng.sample(base, n - int(n * share * rng.random())) + [f"y{rng.randrange(10**6)}" for _ in range(int(n * share * rng.random()))]))
+    sets = spark.createDataFrame(rows, "id long, s array<string>")
+    found = ids(similarity.similar_pairs(sets, "id", "s", threshold))
+    assert found and found == ids(similarity.window_pairs(sets, "id", "s", threshold))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(7, 7), (None, 3), (3, None)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
