@@ -54,7 +54,7 @@ def phrased_sets(n=1000):
     return sets + [(n + i, sets[i][1] + [f"x{i}"]) for i in range(0, n, 100)]
 
 
-@pytest.mark.parametrize("classes", [True])
+@pytest.mark.parametrize("classes", [True, False])
 def test_sets_that_only_share_a_phrase_are_not_moved(spark, classes):
     rows = phrased_sets()
     sets = spark.createDataFrame(rows, "id long, s array<string>")
