@@ -32,18 +32,17 @@ l as (select left_id, right_id, round(k / (na + nb - k), 6) as likeness from p w
 
 
 def _pair_sets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.tokens(F.col("text")).alias("t")).where(F.size("t") >= 40)
-    return docs.select("doc_id", text.shingles(F.col("t")).alias("s"))
+    return similarity.shingle_sets(table(spark, sf_dir, "documents"), "doc_id", "text", 40)
 
 
 @query(f"with {NEAR_SQL} select left_id, right_id, likeness from l")
 def near_duplicate_pairs(spark, sf_dir):
-    return similarity.similar_class_pairs(_pair_sets(spark, sf_dir), "doc_id", "s", 0.8)
+    return similarity.similar_class_pairs(_pair_sets(spark, sf_dir), "doc_id", "shingles", 0.8)
 
 
 @query(f"with {NEAR_SQL}, n as (select class_id, count(*) as links from (select left_id as class_id from l union all select right_id from l) group by 1) select q.doc_id, c.class_id, c.members::bigint as members, coalesce(n.links, 0)::bigint as links from q join c on c.s = q.s left join n on n.class_id = c.class_id")
 def near_duplicate_classes(spark, sf_dir):
-    return similarity.similar_classes(_pair_sets(spark, sf_dir), "doc_id", "s", 0.8).select("doc_id", "class_id", "members", F.col("links").cast("long").alias("links"))
+    return similarity.similar_classes(_pair_sets(spark, sf_dir), "doc_id", "shingles", 0.8).select("doc_id", "class_id", "members", F.col("links").cast("long").alias("links"))
 
 
 @query(f"""with d as (select doc_id, {TOKEN_SQL} t from documents where text is not null), e as (select unnest({SHINGLE_SQL}) g from d)

@@ -51,15 +51,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once, writes it to the shared folder and reads it back, so its lineage ends there.
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """Computes df once, writes it with the writer's `options` to the shared folder and reads it back, so its lineage ends there.
 
     A written table and not Dataset.checkpoint(): that one carries the plan's constraints along, and they
     grow with every turn of an iteration. The files go when the driver's JVM ends, or with release().
     """
     spark = df.sparkSession
     place = f"{shared_dir(spark).rstrip('/')}/strandline-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(place)
+    df.write.options(**options).parquet(place)
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(place)

@@ -86,6 +86,46 @@ def test_sets_of_all_sizes_equal_window_sweep(spark, threshold):
     assert found and found == ids(similarity.window_pairs(sets, "id", "s", threshold))
 
 
+def test_shingle_sets_are_the_shingles_of_the_tokens(spark):
+    rows = [(1, "a b a b c"), (2, "x-y  Zü😀 q"), (3, None), (4, ""), (5, "one"), (6, "b a c"), (7, "a b\x0bc d")]
+    docs = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: r.shingles for r in similarity.shingle_sets(docs, "id", "t").collect()}
+    want = {r.id: r.s for r in docs.where("t is not null").select("id", text.shingles(text.tokens(F.col("t"))).alias("s")).collect()}
+    assert {i: len(s) for i, s in got.items()} == {i: len(s) for i, s in want.items()}
+    assert all(s == sorted({*s}) for s in got.values())
+    same = lambda sets: sorted((i, j, len({*sets[i]} & {*sets[j]})) for i in sets for j in sets)
+    assert same(got) == same(want)
+    assert sorted(r.id for r in similarity.shingle_sets(docs, "id", "t", 4).collect()) == [1, 2, 7]
+
+
+@pytest.mark.parametrize("members", [300, 3_000_000])
+def test_numbers_as_members_and_many_buckets(spark, monkeypatch, members):
+    monkeypatch.setattr(similarity, "BUCKET_MEMBERS", members)
+    number = {}
+    rows = [(i, [number.setdefault(w, len(number)) for w in s] + [None] * (i % 2)) for i, s in random_sets(23)]
+    sets = spark.createDataFrame(rows, "id long, s array<long>")
+    found = ids(similarity.similar_pairs(sets, "id", "s", 0.6))
+    plain = sets.select("id", F.array_compact("s").alias("s"))
+    assert found and found == ids(similarity.window_pairs(plain, "id", "s", 0.6))
+    assert similarity.similar_pairs(sets, "id", "s", 0.6, least=99).collect() == []
+
+
+def test_prefixes_move_without_their_sketch_at_each_gram(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = [(i, rng.sample(vocabulary, 100)) for i in range(4000)]
+    sets = spark.createDataFrame(rows, "id long, s array<string>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sets were many
+    try:
+        before = shuffled(spark)
+        similarity.similar_class_pairs(sets, "id", "s", 0.8).collect()
+        moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert moved < 400 * len(rows)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(7, 7), (None, 3), (3, None)]
     got = dict(graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect())
