@@ -1,11 +1,14 @@
 """Grammars: linear time on cut files, style sheets and YAML, and that every file is tried in all of them."""
 
+import random
+import re
 import time
 
 import pytest
 
 from strandline.llm import plain_grammars as plain
 from strandline.llm.parsecheck import CHECKS, judge, parse_verdicts
+from strandline.sources import ecma, ecma_lex
 
 
 def cut_file(functions):
@@ -85,3 +88,32 @@ def test_verdicts_list_the_grammars(spark):
     frame = spark.createDataFrame(rows, "file_id long, repo string, path string, text string, ingested_at timestamp, valid string")
     got = {r.file_id: (r.valid, r.cause, r.parses_as, sorted(r.accepted_by)) for r in parse_verdicts(frame).collect()}
     assert got == {1: (True, None, None, ["js", "mjs", "ts", "tsx"]), 2: (False, "wrong extension", "yaml", ["yaml"]), 3: (True, None, None, [])}
+
+
+def test_a_text_is_parsed_again_only_where_the_grammar_can_matter(monkeypatch):
+    made = []
+    parser = ecma._Parser
+    monkeypatch.setattr(ecma, "_Parser", lambda *a: made.append(a[1:]) or parser(*a))
+
+    def parsed(text):
+        made.clear()
+        source = ecma.Source(text)
+        errors = {name: source.error(name) is None for name in ("ts", "tsx", "js", "mjs")}
+        return len(made), errors
+
+    assert parsed("const a = b < c;\n") == (2, dict.fromkeys(("ts", "tsx", "js", "mjs"), True))
+    assert parsed("let m: Map<string, Set<number>>;\n") == (2, {"ts": True, "tsx": True, "js": False, "mjs": False})
+    # here JSX decides
+    assert parsed("const a = <T>b;\n")[1] == {"ts": True, "tsx": False, "js": False, "mjs": False}
+    assert parsed("let x\n<T>y;\n")[1] == {"ts": True, "tsx": False, "js": False, "mjs": False}
+    assert parsed("const f = async <T>(x: T) => x;\n")[1]["ts"]
+
+
+def test_plain_words_and_marks_are_the_tokens_of_before():
+    marks = r"[=(,:\[!&|?{};~]"
+    slow = re.compile(rf"[\r\n]\s*|{ecma_lex._OPEN}|{marks}\s*{ecma_lex._REGEX}|{ecma_lex._NUMBER}|(?:[\w$]|\\u[0-9a-fA-F]{{4}}|\\u\{{[0-9a-fA-F]+\}})+|{ecma_lex._TEMPLATE}|#{ecma_lex._WORD}|{ecma_lex._OPERATOR}|\S")
+    rng = random.Random(8)
+    parts = ["a", "b1", "é", "٣", "1.5", ".5", "0x1", "\\u0041", "\\u{61}", "\\", "#p", "...", "?.", "=>", "=", "==", ".", "/", "/x/g", "//c\n", "/*c*/", "/*", "'s'", "'", "`t${x}`", "`", "(", ")", "[", "]", "{", "}", ";", ",", ":", "~", "@", "<", ">>", " ", "\t", "\n  ", "\r\n", "\x0b", " "]
+    for _ in range(5000):
+        text = "".join(rng.choices(parts, k=rng.randrange(1, 14)))
+        assert ecma_lex.fast_tokens(text) == slow.findall(text)
