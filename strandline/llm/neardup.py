@@ -26,6 +26,8 @@ from strandline.runtime import cut
 #: Labels that two sequences must share at least, and the chance that a pair just at the threshold shares them in some tree.
 DEPTH = 6
 TARGET_RECALL = 0.9985
+#: Set members that are hashed at a time, few enough to stay in a core's cache for all its hash functions.
+HASHED = 1 << 16
 #: Members of one bucket that form one chain of neighbours; a larger bucket has several.
 CHAIN = 50_000
 SEED = 20_240_229
@@ -75,12 +77,14 @@ def _forest_keys(trees: int, depth: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            ends = np.cumsum(np.diff(batch.column(1).offsets.to_numpy()).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HASHED, side="right")))
+                part = batch.slice(at, upto - at)
+                at = upto
                 lists = part.column(1)
                 sizes = np.diff(lists.offsets.to_numpy())
-                if not len(sizes):
-                    continue
                 values = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
                 starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
                 labels = signatures(values, starts, trees * depth).reshape(trees, depth, -1)

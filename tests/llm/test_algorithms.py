@@ -4,9 +4,11 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.llm import neardup
 from strandline.llm.components import connected_components
 from strandline.llm.cooccurrence import item_pairs
 from strandline.llm.mixture import draw_slots, mix_sources, permuted, plan_mix
@@ -203,3 +205,17 @@ def test_a_mix_with_long_and_repeated_documents(spark):
     tokens = shares.first().tokens_available
     assert Counter(r["pass"] for r in rows) == {0: -(-tokens // 64), 1: -(-tokens // 64)} and sum(r.n_tokens for r in rows) == 2 * tokens
     assert Counter(d for r in rows for d in r.doc_ids)[2] == 2
+
+
+def test_sets_are_hashed_in_pieces_that_stay_in_the_cache(monkeypatch):
+    rng = random.Random(4)
+    sets = [[rng.randrange(-(2**62), 2**62) for _ in range(n)] for n in [60] * 3000 + [neardup.HASHED + 7, 1, 5]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sets))), pa.array(sets, pa.list_(pa.int64()))], names=["id", "hashes"])
+    pieces, plain = [], neardup.signatures
+    monkeypatch.setattr(neardup, "signatures", lambda values, starts, n: pieces.append((len(values), len(starts))) or plain(values, starts, n))
+    got = pa.Table.from_batches(neardup._forest_keys(3, 2)(iter([batch, batch.slice(0, 0), batch.slice(2999, 3)])))
+    assert max(n for n, records in pieces if records > 1) <= neardup.HASHED and sum(records for _, records in pieces) == len(sets) + 3
+    # the same keys as of each set alone
+    rows = got.to_pylist()
+    alone = [r for i in (0, 1700, 2999, 3000, 3001, 3002) for r in pa.Table.from_batches(neardup._forest_keys(3, 2)(iter([batch.slice(i, 1)]))).to_pylist()]
+    assert len(rows) == 3 * (len(sets) + 3) and all(r in rows for r in alone)
